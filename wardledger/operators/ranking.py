@@ -140,36 +140,56 @@ def rank_incomes(rows: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFra
     return rank_incomes_by_value(table)
 
 
-def income_quartiles(ranked: DataFrame, tiles: int = 4) -> DataFrame:
+def _tile_sums(pieces: DataFrame) -> DataFrame:
+    """Summary per tile of ``tile, key, providers``: income and how many have it."""
+    income = F.col("key").cast("decimal(28,4)")
+    return pieces.groupBy(F.col("tile").cast("bigint").alias("quartile")).agg(
+        F.sum("providers").alias("providers"),
+        F.min("key").alias("min_net_income"),
+        F.max("key").alias("max_net_income"),
+        F.try_divide(
+            F.sum(income * F.col("providers")).cast("double"), F.sum("providers")
+        ).alias("avg_net_income"),
+    )
+
+
+def income_quartiles(
+    ranked: DataFrame, tiles: int = 4, one_task_rows: int = ONE_TASK_ROWS
+) -> DataFrame:
     """NTILE over all known incomes, summed up per tile.
 
     Providers with the same income are interchangeable for these sums, so a
-    tile border inside a run of equal incomes only splits its count; no row
-    order has to be built.
+    tile border inside a run of equal incomes only splits its count. Past the
+    size one task may sort, tiles follow from the positions of the distinct
+    incomes, and no row order has to be built.
     """
     known = ranked.filter(F.col("total_net_income").isNotNull())
+    size = known.count()
+    if size <= one_task_rows:
+        everything = Window.orderBy("total_net_income")
+        return _tile_sums(
+            known.select(
+                F.ntile(tiles).over(everything).alias("tile"),
+                F.col("total_net_income").alias("key"),
+                F.lit(1).cast("bigint").alias("providers"),
+            )
+        )
     # One group over everything: the buckets keep its windows bounded.
     values = value_positions(known, F.lit(1), "total_net_income", descending=False)
-    size = known.agg(F.count("*")).scalar()
-    tile = F.col("tile")
-    base, extra = F.floor(F.col("n") / tiles), F.col("n") % tiles
-    tile_start = (tile - 1) * base + F.least(tile - 1, extra)
-    tile_end = tile * base + F.least(tile, extra)
-    shared = F.least(tile_end, F.col("rows_before") + F.col("n_rows")) - F.greatest(
-        tile_start, F.col("rows_before")
+    base, extra = divmod(size, tiles)
+    bounds = [
+        F.struct(
+            F.lit(t + 1).alias("tile"),
+            F.lit(t * base + min(t, extra)).alias("start"),
+            F.lit((t + 1) * base + min(t + 1, extra)).alias("end"),
+        )
+        for t in range(tiles)
+    ]
+    shared = F.least("end", F.col("rows_before") + F.col("n_rows")) - F.greatest(
+        "start", "rows_before"
     )
-    pieces = (
-        values.select("*", size.alias("n"))
-        .select("*", F.explode(F.array(*[F.lit(t) for t in range(1, tiles + 1)])).alias("tile"))
+    return _tile_sums(
+        values.select("*", F.inline(F.array(*bounds)))
         .select("tile", "key", shared.alias("providers"))
         .filter(F.col("providers") > 0)
     )
-    income = F.col("key").cast("decimal(18,4)")
-    return pieces.groupBy(tile.cast("bigint").alias("quartile")).agg(
-        F.sum("providers").alias("providers"),
-        F.min("key").alias("min_net_income"),
-        F.max("key").alias("max_net_income"),
-        F.try_divide(
-            F.sum(income * F.col("providers")).cast("double"), F.sum("providers")
-        ).alias("avg_net_income"),
-    )

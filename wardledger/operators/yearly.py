@@ -110,9 +110,9 @@ FLAGSHIP_SQL = """
 WITH yearly_summary AS (
   SELECT provider_id,
          CAST(year(report_period) AS BIGINT) AS report_year,
-         CAST(sum(total_expenses) AS DOUBLE) AS total_expenses,
-         CAST(sum(total_charges) AS DOUBLE) / count(total_charges) AS avg_charges,
-         CAST(sum(net_income) AS DOUBLE) AS total_net_income
+         CAST(sum(CAST(total_expenses AS DECIMAL(18,4))) AS DOUBLE) AS total_expenses,
+         CAST(sum(CAST(total_charges AS DECIMAL(18,4))) AS DOUBLE) / count(total_charges) AS avg_charges,
+         CAST(sum(CAST(net_income AS DECIMAL(18,4))) AS DOUBLE) AS total_net_income
   FROM {view}
   WHERE beds_number > 50
   GROUP BY provider_id, year(report_period)

@@ -121,16 +121,10 @@ def external_copies(spark: SparkSession, sf_dir: str) -> str:
 
     def build() -> str:
         path = fresh_path(spark, "external-copies")
-        copies = F.explode(F.sequence(F.lit(1), F.lit(COPIES))).alias("copy")
-        (
-            staging_order(staging(spark, sf_dir))
-            .select("*", copies)
-            .hint("rebalance", "copy")
-            .write.partitionBy("copy")
-            .option("header", True)
-            .csv(path)
-        )
-        return f"{path}/copy=*/*.csv"
+        reports = staging_order(staging(spark, sf_dir))
+        for copy in range(COPIES):
+            write_csv(reports, f"{path}/{copy}")
+        return f"{path}/*/*.csv"
 
     return _once(spark, sf_dir, "external-copies", build)
 

@@ -146,6 +146,8 @@ CATEGORY_BANDS = _bands(
 )
 
 
+# Rounded differences add zero, which turns -0.0 into 0.0.
+
 # Costs, part by part. Literals are DOUBLE: a bare decimal changes the type.
 
 def _on_demand(size: str) -> str:
@@ -652,7 +654,7 @@ discounted AS (
          CAST(SUM(CASE WHEN table_type = 'external' THEN t END) AS DOUBLE)
            / COUNT(CASE WHEN table_type = 'external' THEN t END) AS external
   FROM runs WHERE success GROUP BY query_name),
-diffs AS (SELECT *, ROUND((external - native) / native * 100, 1) AS diff FROM means
+diffs AS (SELECT *, ROUND((external - native) / native * 100, 1) + CAST(0 AS DOUBLE) AS diff FROM means
           WHERE native IS NOT NULL AND external IS NOT NULL)""",
             body="SELECT query_name, ROUND(native, 3) AS native_avg_time, "
             "ROUND(external, 3) AS external_avg_time, diff AS performance_difference_pct, "
@@ -670,7 +672,7 @@ diffs AS (SELECT *, ROUND((external - native) / native * 100, 1) AS diff FROM me
          COUNT(CASE WHEN table_type = 'external' THEN 1 END) AS external_ok
   FROM runs WHERE success)""",
             body="SELECT native_avg, external_avg, "
-            "ROUND((external_avg - native_avg) / native_avg * 100, 1) AS overall_diff_pct, "
+            "ROUND((external_avg - native_avg) / native_avg * 100, 1) + CAST(0 AS DOUBLE) AS overall_diff_pct, "
             "native_ok, external_ok FROM means",
         ),
         "engine_comparison": _with(

@@ -161,23 +161,22 @@ def _quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _required_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost reports of all customers: those without orders have no figures."""
+    """Cost reports, with an empty one for each customer without orders."""
+    reports = bindings.staging(spark, sf_dir).select(*quality.REQUIRED_COLUMNS)
     customers = bindings.table(spark, sf_dir, "customer").select(
         (F.col("c_custkey") + 100000).alias("provider_id")
     )
-    reports = bindings.staging(spark, sf_dir).select(
-        F.col("provider_id").alias("reported_id"), *quality.REQUIRED_COLUMNS[1:]
-    )
-    feed = customers.join(reports, F.col("provider_id") == F.col("reported_id"), "left")
-    return quality.required_violations(
-        feed.select(F.col("reported_id").alias("provider_id"), *quality.REQUIRED_COLUMNS[1:])
-    )
+    reported = reports.select("provider_id").distinct()
+    silent = customers.join(reported, "provider_id", "left_anti")
+    empty = silent.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in reports.schema])
+    return quality.required_violations(reports.unionByName(empty))
 
 
 def _load_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _nine_columns(bindings.cost_reports(spark, sf_dir))
     files = staging.read_csv(spark, bindings.external_files(spark, sf_dir))
-    return quality.load_reconciliation(source, _nine_columns(files))
+    return quality.load_reconciliation(
+        _nine_columns(files), _nine_columns(bindings.staging(spark, sf_dir))
+    )
 
 
 def _synthetic_hospitals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,13 @@ def recreate_table(df: DataFrame, name: str, path: str, partition_by: list[str])
     return spark.table(name)
 
 
+def connection_probe(spark: SparkSession) -> DataFrame:
+    """One constant row, to see that the session answers."""
+    return spark.range(1).select(
+        F.lit(1).alias("test_value"), F.lit("connection_test").alias("test_message")
+    )
+
+
 def partition_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows per date partition of each named table."""
     counts = [
