@@ -1,24 +1,43 @@
 """Sums, means and ratios over money columns.
 
 Floating sums depend on the order in which tasks finish. Money is therefore
-added up as DECIMAL and turned into DOUBLE once, at the end, so that a rerun
-after a lost executor gives the same bits.
+added up in whole units of 1/10,000 dollar and turned into DOUBLE once, at the
+end: a rerun after a lost executor gives the same bits.
+
+The units of a row are split at 2**20 into two BIGINT parts that are summed
+apart. Both sums stay far from overflow for 10**12 rows of 10**8 dollars, and
+unlike a DECIMAL sum they cost two integer additions per row.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-MONEY = T.DecimalType(18, 4)
+UNITS_PER_DOLLAR = 10_000
+SPLIT_BITS = 20
+
+
+def _is_float(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
 
 
-def exact(df: DataFrame, name: str) -> Column:
-    """Column ``name`` as a type whose sum does not depend on order."""
-    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return F.col(name).cast(MONEY)
-    return F.col(name)
+def _units_sum_to_dollars(high: Column, low: Column) -> Column:
+    """Nearest DOUBLE to the exact sum of high * 2**20 + low units."""
+    small = (F.abs(high) < 2**32) & (low < 2**51)
+    # Below 2**53 units both operands are exact and the quotient is rounded once.
+    as_long = F.shiftleft(high, SPLIT_BITS) + low
+    quick = as_long.cast("double") / F.lit(float(UNITS_PER_DOLLAR))
+    parts = high.cast("decimal(20,0)") * F.lit(2**SPLIT_BITS) + low.cast("decimal(20,0)")
+    exact = (parts.cast("decimal(32,0)") * F.expr("0.0001BD")).cast("double")
+    return F.when(small, quick).otherwise(exact)
 
 
 def total(df: DataFrame, name: str) -> Column:
-    return F.sum(exact(df, name)).cast("double")
+    """Sum of a column as DOUBLE, independent of row order."""
+    if not _is_float(df, name):
+        return F.sum(name).cast("double")
+    units = F.rint(F.col(name) * F.lit(float(UNITS_PER_DOLLAR))).cast("bigint")
+    high = F.sum(F.shiftright(units, SPLIT_BITS))
+    low = F.sum(units.bitwiseAND(F.lit(2**SPLIT_BITS - 1)))
+    return _units_sum_to_dollars(high, low)
 
 
 def mean(df: DataFrame, name: str) -> Column:

@@ -1,10 +1,10 @@
 """The engine's input tables, derived from the tables of a data folder."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardledger.functions.dates import batch_name, year_end
 from wardledger.operators.yearly import flagship
-from wardledger.schema import PARTITION_COLUMN
+from wardledger.schema import NATIVE_SCHEMA, PARTITION_COLUMN
 from wardledger.session import fresh_path
 from wardledger.sources.landing import land
 from wardledger.sources.staging import read_staging, write_csv, write_staging
@@ -86,23 +86,18 @@ def cost_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _staging(spark: SparkSession, sf_dir: str) -> tuple[str, T.StructType]:
-    def build() -> tuple[str, T.StructType]:
+def staging_path(spark: SparkSession, sf_dir: str) -> str:
+    def build() -> str:
         path = fresh_path(spark, "staging")
-        reports = cost_reports(spark, sf_dir)
-        write_staging(reports, path)
-        return path, reports.schema
+        write_staging(cost_reports(spark, sf_dir).to(NATIVE_SCHEMA), path)
+        return path
 
     return _once(spark, sf_dir, "staging", build)
 
 
-def staging_path(spark: SparkSession, sf_dir: str) -> str:
-    return _staging(spark, sf_dir)[0]
-
-
 def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The loaded staging table: written once, then only read."""
-    return read_staging(spark, *_staging(spark, sf_dir))
+    return read_staging(spark, staging_path(spark, sf_dir))
 
 
 def external_files(spark: SparkSession, sf_dir: str) -> str:

@@ -122,14 +122,14 @@ NINE = (
     "provider_id, hospital_name, city, state, beds_number, report_period, "
     "total_expenses, total_charges, net_income"
 )
-# The same columns as a CSV read with the fixed schema returns them.
-NINE_CSV = (
+# The same columns in the types of the fixed schema.
+NINE_TYPED = (
     "provider_id, hospital_name, city, state, CAST(beds_number AS BIGINT) AS {beds}, "
     "report_period AS {period}, CAST(total_expenses AS DOUBLE) AS total_expenses, "
     "CAST(total_charges AS DOUBLE) AS total_charges, CAST(net_income AS DOUBLE) AS net_income"
 )
-NATIVE_CSV = NINE_CSV.format(beds="beds_number", period="report_period")
-EXTERNAL_CSV = NINE_CSV.format(beds="beds", period="reporting_period_end")
+NATIVE_TYPED = NINE_TYPED.format(beds="beds_number", period="report_period")
+EXTERNAL_TYPED = NINE_TYPED.format(beds="beds", period="reporting_period_end")
 
 
 def _bands(bounds: list[tuple[int, str]], last: str) -> str:
@@ -387,7 +387,7 @@ def oracle() -> dict[str, str]:
     flagship_q3 = _flagship(f"{YEAR_FILTER} {ID_FILTER}")
     flagship_full = _flagship(limit=None)
     summary = _with(STG, _summary(), body="SELECT * FROM yearly_summary")
-    nine = _stg(f"SELECT {NINE} FROM stg")
+    loaded = _stg(f"SELECT {NATIVE_TYPED} FROM stg")
     long_form = _long_form()
     load_costs = [JOBS, PHASES, OBJECTS, LOAD_RUNS, _run_costs("load_runs")]
     return {
@@ -459,11 +459,12 @@ def oracle() -> dict[str, str]:
             "COUNT(CASE WHEN beds_number > 50 THEN 1 END) AS over_50_beds FROM stg"
         ),
         "preview_ordered": _stg(
-            "SELECT provider_id, hospital_name, city, state, beds_number, report_period, total_expenses "
+            "SELECT provider_id, hospital_name, city, state, CAST(beds_number AS BIGINT) AS beds_number, "
+            "report_period, CAST(total_expenses AS DOUBLE) AS total_expenses "
             "FROM stg ORDER BY report_period, provider_id, total_expenses LIMIT 5"
         ),
         "top_expense_hospitals": _stg(
-            f"SELECT provider_id, hospital_name, city, state, beds_number, {REPORT_YEAR} AS report_year, "
+            f"SELECT provider_id, hospital_name, city, state, CAST(beds_number AS BIGINT) AS beds_number, {REPORT_YEAR} AS report_year, "
             "CAST(total_expenses AS DOUBLE) AS total_expenses, CAST(total_charges AS DOUBLE) AS total_charges, "
             "CAST(net_income AS DOUBLE) AS net_income, "
             "ROUND(CAST(total_charges AS DOUBLE) / NULLIF(CAST(total_expenses AS DOUBLE), 0), 2) "
@@ -471,7 +472,7 @@ def oracle() -> dict[str, str]:
             "ORDER BY total_expenses DESC, provider_id, report_year, total_charges, net_income LIMIT 20"
         ),
         "top_expense_preview": _stg(
-            f"SELECT provider_id, hospital_name, beds_number, {REPORT_YEAR} AS report_year, "
+            f"SELECT provider_id, hospital_name, CAST(beds_number AS BIGINT) AS beds_number, {REPORT_YEAR} AS report_year, "
             "CAST(total_expenses AS DOUBLE) AS total_expenses FROM stg WHERE beds_number > 50 "
             "ORDER BY total_expenses DESC, provider_id, report_year LIMIT 10"
         ),
@@ -494,23 +495,25 @@ def oracle() -> dict[str, str]:
             "CAST(MAX(net_income) AS DOUBLE) AS max_net_income FROM stg WHERE beds_number > 50 GROUP BY 1"
         ),
         "profit_margin": _stg(
-            f"SELECT provider_id, hospital_name, {REPORT_YEAR} AS report_year, beds_number, "
+            f"SELECT provider_id, hospital_name, {REPORT_YEAR} AS report_year, CAST(beds_number AS BIGINT) AS beds_number, "
             "CAST(total_expenses AS DOUBLE) AS total_expenses, CAST(net_income AS DOUBLE) AS net_income, "
             "ROUND(CAST(net_income AS DOUBLE) / NULLIF(CAST(total_expenses AS DOUBLE), 0) * 100, 2) "
             f"AS profit_margin_pct FROM stg WHERE beds_number > 100 AND total_expenses > {MIN_EXPENSES} "
             "AND net_income IS NOT NULL ORDER BY profit_margin_pct DESC, total_expenses DESC, "
             "provider_id, report_year, net_income LIMIT 50"
         ),
-        "stg_binding": nine,
-        "csv_roundtrip": _stg(f"SELECT {NATIVE_CSV} FROM stg"),
-        "csv_load": _stg(f"SELECT {NATIVE_CSV} FROM stg"),
-        "staging_roundtrip": nine,
-        "load_overwrite": nine,
-        "load_append": _stg(f"SELECT {NINE} FROM stg UNION ALL SELECT {NINE} FROM stg"),
-        "table_recreate": nine,
-        "external_renamed_scan": _stg(f"SELECT {EXTERNAL_CSV} FROM stg"),
+        "stg_binding": _stg(f"SELECT {NINE} FROM stg"),
+        "csv_roundtrip": loaded,
+        "csv_load": loaded,
+        "staging_roundtrip": loaded,
+        "load_overwrite": loaded,
+        "load_append": _stg(
+            f"SELECT {NATIVE_TYPED} FROM stg UNION ALL SELECT {NATIVE_TYPED} FROM stg"
+        ),
+        "table_recreate": loaded,
+        "external_renamed_scan": _stg(f"SELECT {EXTERNAL_TYPED} FROM stg"),
         "external_multi_file_scan": _stg(
-            " UNION ALL ".join([f"SELECT {EXTERNAL_CSV} FROM stg"] * 8)
+            " UNION ALL ".join([f"SELECT {EXTERNAL_TYPED} FROM stg"] * 8)
         ),
         "external_copies_summary": _with(
             STG,
@@ -564,7 +567,7 @@ def oracle() -> dict[str, str]:
             "SELECT provider_id, report_period, concat_ws(' ', city, hospital_name) AS display_name FROM stg"
         ),
         "clamped_beds": _stg(
-            "SELECT provider_id, beds_number, CAST(GREATEST(40, LEAST(beds_number, 250)) AS BIGINT) "
+            "SELECT provider_id, CAST(beds_number AS BIGINT) AS beds_number, CAST(GREATEST(40, LEAST(beds_number, 250)) AS BIGINT) "
             "AS clamped_beds FROM stg"
         ),
         "unit_conversion": _with(

@@ -89,7 +89,7 @@ def _load(modes: list[str]) -> Query:
         reports = bindings.staging_order(bindings.staging(spark, sf_dir))
         for mode in modes:
             staging.write_staging(reports, path, mode)
-        return _nine_columns(staging.read_staging(spark, path, reports.schema))
+        return _nine_columns(staging.read_staging(spark, path))
 
     return run
 
