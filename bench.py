@@ -13,9 +13,12 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from wardledger.operators.benchmark import benchmark_overall, benchmark_summary  # noqa: E402
 from wardledger.plans import bindings  # noqa: E402
-from wardledger.plans.queries import QUERIES  # noqa: E402
+from wardledger.plans.load_run import compare_layouts  # noqa: E402
+from wardledger.plans.queries import ID_RANGE, QUERIES, YEAR  # noqa: E402
 from wardledger.session import session  # noqa: E402
+from wardledger.sources.staging import native_names, read_external  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -89,6 +92,8 @@ def main() -> None:
         cold[name] = round(seconds(lambda: run(name)), 4)
         warm[name] = round(statistics.median(seconds(lambda: run(name)) for _ in range(WARM)), 4)
 
+    external = native_names(read_external(spark, bindings.external_files(spark, SF_DIR)))
+    runs = compare_layouts(bindings.staging(spark, SF_DIR), external, YEAR, ID_RANGE, WARM)
     staged = bindings.staging(spark, SF_DIR).count()
     reduction = QUERIES["scan_reduction"](spark, SF_DIR).first().asDict()
     print(
@@ -106,6 +111,8 @@ def main() -> None:
                     if name.startswith(("flagship", "external"))
                 },
                 "scan_reduction": reduction,
+                "native_vs_external": [r.asDict() for r in benchmark_summary(runs).collect()],
+                "native_vs_external_overall": benchmark_overall(runs).first().asDict(),
                 "sf": float(os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")),
             }
         )

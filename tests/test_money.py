@@ -1,0 +1,44 @@
+from decimal import Decimal
+
+import pytest
+
+from wardledger.functions import money
+
+
+def exact(values):
+    return float(sum((Decimal(repr(v)) for v in values), Decimal(0)))
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [0.1, 0.2, 0.3],
+        [-0.01, -0.02, 0.0001],
+        [-123456.7891, 98765.4321, -0.0001],
+        [1e11 + 0.01] * 7 + [-0.03],
+        [99_999_999_999.99] * 3 + [-99_999_999_999.98],
+        [round(1234.5678 * i * (-1) ** i, 4) for i in range(2000)],
+    ],
+)
+def test_total_is_the_nearest_double(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert df.agg(money.total(df, "x")).first()[0] == exact(values)
+
+
+def test_large_sums_leave_the_short_way(spark):
+    values = [1e11 + i / 4 for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    assert df.agg(money.total(df, "x")).first()[0] == exact(values)
+
+
+def test_nulls_and_nothing(spark):
+    df = spark.createDataFrame([(1.5,), (None,), (2.0,)], "x double")
+    assert tuple(df.agg(money.total(df, "x"), money.mean(df, "x")).first()) == (3.5, 1.75)
+    nothing = df.limit(0)
+    assert tuple(nothing.agg(money.total(df, "x"), money.mean(df, "x")).first()) == (None, None)
+
+
+def test_decimals_and_integers_are_summed_as_they_are(spark):
+    df = spark.createDataFrame([(Decimal("1.10"), 2), (Decimal("2.20"), 3)], "d decimal(18,2), i int")
+    assert tuple(df.agg(money.total(df, "d"), money.total(df, "i"), money.mean(df, "i")).first()) == (
+        3.3, 5.0, 2.5)

@@ -155,6 +155,23 @@ def flat_form(nested: DataFrame) -> DataFrame:
     )
 
 
+def write_long_form(long: DataFrame, path: str) -> None:
+    long.write.option("header", True).csv(path)
+
+
+def read_long_form(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in LONG_COLUMNS])
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
+def csv_roundtrip(long: DataFrame) -> DataFrame:
+    """Write the long form as CSV and read it back."""
+    spark = long.sparkSession
+    path = fresh_path(spark, "metrics-csv")
+    write_long_form(long, path)
+    return read_long_form(spark, path)
+
+
 def write_json(nested: DataFrame, path: str) -> None:
     nested.write.json(path)
 

@@ -430,7 +430,7 @@ QUERIES: dict[str, Query] = {
     "phase_rollup": _on(bindings.phases, benchmark.phase_rollup),
     "resource_samples_summary": _on(bindings.phases, benchmark.resource_samples_summary),
     "storage_ratio": _on(bindings.objects, benchmark.storage_ratio),
-    "metrics_long_form": _on(_results, metrics.long_form),
+    "metrics_long_form": _on(_results, lambda r: metrics.csv_roundtrip(metrics.long_form(r))),
     "metrics_json_roundtrip": _metrics_json_roundtrip,
     "recent_jobs": _on(bindings.jobs, _recent_jobs),
 }
