@@ -19,25 +19,37 @@ def _is_float(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
 
 
-def _units_sum_to_dollars(high: Column, low: Column) -> Column:
-    """Nearest DOUBLE to the exact sum of high * 2**20 + low units."""
-    small = (F.abs(high) < 2**32) & (low < 2**51)
-    # Below 2**53 units both operands are exact and the quotient is rounded once.
-    as_long = F.shiftleft(high, SPLIT_BITS) + low
-    quick = as_long.cast("double") / F.lit(float(UNITS_PER_DOLLAR))
-    parts = high.cast("decimal(20,0)") * F.lit(2**SPLIT_BITS) + low.cast("decimal(20,0)")
-    exact = (parts.cast("decimal(32,0)") * F.expr("0.0001BD")).cast("double")
-    return F.when(small, quick).otherwise(exact)
+# Sum of column {x} as the nearest DOUBLE to the exact sum of its units. Below
+# 2**53 units the sum is exact as DOUBLE and the quotient is rounded once; past
+# that the parts are put together as DECIMAL. One expression text instead of
+# forty column calls: these sums are in every query, and building them call by
+# call took longer than running them on small tables.
+_SUM_OF_UNITS = """
+CASE WHEN abs(sum(shiftright({units}, {bits}))) < {small_high}
+      AND sum({units} & {mask}) < {small_low}
+     THEN CAST(shiftleft(sum(shiftright({units}, {bits})), {bits}) + sum({units} & {mask}) AS DOUBLE)
+          / {per_dollar}D
+     ELSE CAST(CAST(CAST(sum(shiftright({units}, {bits})) AS DECIMAL(20,0)) * {split}
+                    + CAST(sum({units} & {mask}) AS DECIMAL(20,0)) AS DECIMAL(32,0))
+               * 0.0001BD AS DOUBLE)
+END"""
 
 
 def total(df: DataFrame, name: str) -> Column:
     """Sum of a column as DOUBLE, independent of row order."""
     if not _is_float(df, name):
         return F.sum(name).cast("double")
-    units = F.rint(F.col(name) * F.lit(float(UNITS_PER_DOLLAR))).cast("bigint")
-    high = F.sum(F.shiftright(units, SPLIT_BITS))
-    low = F.sum(units.bitwiseAND(F.lit(2**SPLIT_BITS - 1)))
-    return _units_sum_to_dollars(high, low)
+    return F.expr(
+        _SUM_OF_UNITS.format(
+            units=f"CAST(rint(`{name}` * {UNITS_PER_DOLLAR}D) AS BIGINT)",
+            bits=SPLIT_BITS,
+            split=2**SPLIT_BITS,
+            mask=f"{2**SPLIT_BITS - 1}L",
+            small_high=f"{2**32}L",
+            small_low=f"{2**51}L",
+            per_dollar=UNITS_PER_DOLLAR,
+        )
+    )
 
 
 def mean(df: DataFrame, name: str) -> Column:
