@@ -98,17 +98,26 @@ def test_a_large_date_is_split_over_tasks(spark, reports):
 
 
 def test_recreate_replaces_the_table(spark, reports):
-    path = fresh_path(spark, "table")
     first = reports([(1, 2023, 60, 10.0, 1.0)])
     second = reports([(2, 2022, 60, 10.0, 1.0), (3, 2021, 60, 10.0, 1.0)])
-    staging.recreate_table(first, "test_recreated", path, ["report_period"])
-    table = staging.recreate_table(second, "test_recreated", path, ["report_period"])
+    for df in (first, second):
+        table = staging.recreate_table(
+            df, "test_recreated", fresh_path(spark, "table"), ["report_period"])
     assert sorted(rows(table.select("provider_id"))) == [(2,), (3,)]
     assert spark.sql("SHOW PARTITIONS test_recreated").count() == 2
     counts = staging.partition_counts({"test_recreated": table})
     assert sorted(r.records for r in counts.collect()) == [1, 1]
 
 
+def test_a_failed_replacement_keeps_the_old_table(spark, reports):
+    good = reports([(1, 2023, 60, 10.0, 1.0)])
+    staging.recreate_table(good, "test_kept", fresh_path(spark, "table"), [])
+    bad = quality.enforce_required(reports([(None, 2023, 60, 10.0, 1.0)]))
+    with pytest.raises(Exception, match="provider_id"):
+        staging.recreate_table(bad, "test_kept", fresh_path(spark, "table"), [])
+    assert rows(spark.table("test_kept").select("provider_id")) == [(1,)]
+
+
 def test_newest_batch_is_not_the_last_name(spark, reports):
     path = fresh_path(spark, "landing")
     names = [

@@ -109,6 +109,40 @@ def test_both_ways_of_ranking_agree(many):
     assert one_task == by_value
 
 
+@pytest.fixture
+def small_partitions(spark):
+    """Let adaptive execution treat tens of kilobytes as a large partition."""
+    keys = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {key: spark.conf.get(key, None) for key in keys}
+    for key, value in keys.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_many_equal_incomes_are_split_over_tasks(spark, small_partitions):
+    """A third of all provider-years with one income is a hot key of the join back."""
+    income = yearly.F.when(yearly.F.col("id") % 3 == 0, 0.0).otherwise(
+        yearly.F.col("id").cast("double"))
+    summary = spark.range(0, 200_000, 1, 8).select(
+        yearly.F.col("id").alias("provider_id"),
+        yearly.F.lit(2023).cast("bigint").alias("report_year"),
+        income.alias("total_net_income"),
+    )
+    ranked = ranking.rank_incomes(summary, one_task_rows=0)
+    assert len(ranked.collect()) == 200_000
+    assert "skew=true" in ranked._jdf.queryExecution().executedPlan().toString()
+    assert ranked.filter("income_rank = 133334").count() == 66_667
+
+
 def test_buckets_bound_the_windows(many):
     values = ranking.value_positions(
         yearly.yearly_summary(many), ranking.F.col("report_year"), "total_net_income"

@@ -100,16 +100,16 @@ def _csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _table_recreate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Create the catalog table from large hospitals only, then from all."""
     reports = bindings.staging_order(bindings.staging(spark, sf_dir))
-    path = fresh_path(spark, "recreated")
-    for table in (reports.filter(F.col("beds_number") > 50), reports):
-        result = staging.recreate_table(
-            table.hint("rebalance", "report_period"),
+    for part in (reports.filter(F.col("beds_number") > 50), reports):
+        table = staging.recreate_table(
+            staging.clustered(part),
             "stg_hospital_costs",
-            path,
+            fresh_path(spark, "recreated"),
             ["report_period"],
         )
-    return _nine_columns(result)
+    return _nine_columns(table)
 
 
 def _external_names(df: DataFrame) -> DataFrame:

@@ -76,14 +76,18 @@ def load_staging(
 
 
 def recreate_table(df: DataFrame, name: str, path: str, partition_by: list[str]) -> DataFrame:
-    """Drop the catalog table ``name`` if it exists and create it from ``df``."""
+    """Replace the catalog table ``name`` by ``df``, stored under the unused ``path``.
+
+    The new files are complete before the old table is dropped, so a load that
+    fails leaves the old table as it was.
+    """
     spark = df.sparkSession
+    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    writer = df.write.mode("overwrite").format("parquet").option("path", path)
+    table = spark.catalog.createTable(name, path=path, source="parquet")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(name)
-    return spark.table(name)
+        spark.catalog.recoverPartitions(name)
+    return table
 
 
 def connection_probe(spark: SparkSession) -> DataFrame:
