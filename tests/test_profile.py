@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 
@@ -104,17 +105,35 @@ def test_scan_reduction(reports):
     assert rows(profile.scan_reduction(stg, kept)) == [(4, 2, 3, 1, 50.0)]
 
 
-def test_profile_names(reports):
-    stg = reports([(1, 2023, 60, 10.0, 1.0)])
+@pytest.mark.parametrize("size", [0, 1, 700])
+def test_one_scan_equals_five(reports, size):
+    rng = random.Random(size)
+    states = ["NY", "CA", "TX", None]
+    stg = reports(
+        [
+            (
+                i,
+                rng.choice([2021, 2022, 2023]),
+                rng.choice(BEDS),
+                rng.choice([None, 0.0, round(rng.uniform(1, 1e8), 2)]),
+                rng.choice([None, round(rng.uniform(-1e7, 1e7), 2)]),
+                rng.choice(states),
+            )
+            for i in range(size)
+        ]
+    )
     report = profile.staging_profile(stg)
-    assert set(report) == {
-        "total_records",
-        "year_distribution",
-        "state_distribution",
-        "bed_size_categories",
-        "financial_summary",
+    alone = {
+        "total_records": profile.row_count(stg),
+        "year_distribution": profile.by_year(stg),
+        "state_distribution": profile.by_state(stg),
+        "bed_size_categories": profile.bed_size_categories(stg),
+        "financial_summary": profile.financial_summary(stg),
     }
-    assert all(df.count() == 1 for df in report.values())
+    assert list(report) == list(alone)
+    for name, expected in alone.items():
+        assert report[name].columns == expected.columns
+        assert rows(report[name]) == rows(expected), name
 
 
 def test_numeric_profile(reports):

@@ -19,28 +19,27 @@ def _is_float(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
 
 
-# Sum of column {x} as the nearest DOUBLE to the exact sum of its units. Below
-# 2**53 units the sum is exact as DOUBLE and the quotient is rounded once; past
-# that the parts are put together as DECIMAL. One expression text instead of
-# forty column calls: these sums are in every query, and building them call by
-# call took longer than running them on small tables.
-_SUM_OF_UNITS = """
-CASE WHEN abs(sum(shiftright({units}, {bits}))) < {small_high}
-      AND sum({units} & {mask}) < {small_low}
-     THEN CAST(shiftleft(sum(shiftright({units}, {bits})), {bits}) + sum({units} & {mask}) AS DOUBLE)
-          / {per_dollar}D
-     ELSE CAST(CAST(CAST(sum(shiftright({units}, {bits})) AS DECIMAL(20,0)) * {split}
-                    + CAST(sum({units} & {mask}) AS DECIMAL(20,0)) AS DECIMAL(32,0))
-               * 0.0001BD AS DOUBLE)
+# Exact sum of column {units} in dollars.
+_DECIMAL_DOLLARS = """
+CAST(CAST(sum(shiftright({units}, {bits})) AS DECIMAL(20,0)) * {split}
+     + CAST(sum({units} & {mask}) AS DECIMAL(20,0)) AS DECIMAL(32,0)) * 0.0001BD"""
+
+# The same as the nearest DOUBLE. Below 2**53 units the sum is exact as DOUBLE
+# and the quotient is rounded once; past that the parts meet as DECIMAL. One
+# expression text instead of forty column calls: these sums are in every query,
+# and building them call by call took longer than running them on small tables.
+_DOUBLE_DOLLARS = f"""
+CASE WHEN abs(sum(shiftright({{units}}, {{bits}}))) < {{small_high}}
+      AND sum({{units}} & {{mask}}) < {{small_low}}
+     THEN CAST(shiftleft(sum(shiftright({{units}}, {{bits}})), {{bits}}) + sum({{units}} & {{mask}}) AS DOUBLE)
+          / {{per_dollar}}D
+     ELSE CAST({_DECIMAL_DOLLARS} AS DOUBLE)
 END"""
 
 
-def total(df: DataFrame, name: str) -> Column:
-    """Sum of a column as DOUBLE, independent of row order."""
-    if not _is_float(df, name):
-        return F.sum(name).cast("double")
+def _sum_of_units(text: str, name: str) -> Column:
     return F.expr(
-        _SUM_OF_UNITS.format(
+        text.format(
             units=f"CAST(rint(`{name}` * {UNITS_PER_DOLLAR}D) AS BIGINT)",
             bits=SPLIT_BITS,
             split=2**SPLIT_BITS,
@@ -52,6 +51,18 @@ def total(df: DataFrame, name: str) -> Column:
     )
 
 
+def exact_total(df: DataFrame, name: str) -> Column:
+    """Sum of a column as DECIMAL dollars, for sums that are summed again."""
+    return _sum_of_units(_DECIMAL_DOLLARS, name) if _is_float(df, name) else F.sum(name)
+
+
+def total(df: DataFrame, name: str) -> Column:
+    """Sum of a column as DOUBLE, independent of row order."""
+    if _is_float(df, name):
+        return _sum_of_units(_DOUBLE_DOLLARS, name)
+    return F.sum(name).cast("double")
+
+
 def mean(df: DataFrame, name: str) -> Column:
     return F.try_divide(total(df, name), F.count(name))
 

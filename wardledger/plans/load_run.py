@@ -46,7 +46,7 @@ def load(
 ) -> LoadRun:
     """Load CSV files, and describe the load as one run result.
 
-    ``profile`` and ``results`` are lazy; only the load itself runs here.
+    The load and one scan for the profile run here; the results are lazy.
     """
     at = datetime.datetime.now().isoformat(timespec="seconds")
     start = time.perf_counter()
