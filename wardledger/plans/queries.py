@@ -1,5 +1,6 @@
 """Every query of the engine by name, over the tables of a data folder."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -43,6 +44,11 @@ def _external(operator) -> Query:
     return run
 
 
+def _unused_name(label: str) -> str:
+    """A table name no catalog holds: the checks must not replace real tables."""
+    return f"wardledger_{label}_{uuid.uuid4().hex}"
+
+
 # Flagship workload
 
 def _analytics(operator) -> Query:
@@ -52,7 +58,7 @@ def _analytics(operator) -> Query:
 def _analytics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "analytics-table")
     ranked = yearly.flagship(bindings.staging(spark, sf_dir), limit=None)
-    return staging.recreate_table(ranked, "analytics_hospital_costs", path, [])
+    return staging.recreate_table(ranked, _unused_name("analytics"), path, [])
 
 
 def _analytics_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,10 +108,11 @@ def _csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _table_recreate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Create the catalog table from large hospitals only, then from all."""
     reports = bindings.staging_order(bindings.staging(spark, sf_dir))
+    name = _unused_name("staging")
     for part in (reports.filter(F.col("beds_number") > 50), reports):
         table = staging.recreate_table(
             staging.clustered(part),
-            "stg_hospital_costs",
+            name,
             fresh_path(spark, "recreated"),
             ["report_period"],
         )
