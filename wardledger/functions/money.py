@@ -4,7 +4,8 @@ Floating sums depend on the order in which tasks finish. Money is therefore
 added up in whole units of 1/10,000 dollar and turned into DOUBLE once, at the
 end: a rerun after a lost executor gives the same bits.
 
-The units of a row are split at 2**20 into two BIGINT parts that are summed
+Amounts are rounded to the unit, and may reach 9 * 10**14 dollars per row. The
+units of a row are split at 2**20 into two BIGINT parts that are summed
 apart. Both sums stay far from overflow for 10**12 rows of 10**8 dollars, and
 unlike a DECIMAL sum they cost two integer additions per row.
 """

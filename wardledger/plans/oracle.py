@@ -389,12 +389,20 @@ def oracle() -> dict[str, str]:
     summary = _with(STG, _summary(), body="SELECT * FROM yearly_summary")
     loaded = _stg(f"SELECT {NATIVE_TYPED} FROM stg")
     long_form = _long_form()
+    quartiles = _on_ranked(
+        "SELECT quartile, COUNT(*) AS providers, MIN(total_net_income) AS min_net_income, "
+        "MAX(total_net_income) AS max_net_income, "
+        "CAST(SUM(CAST(total_net_income AS DECIMAL(18,4))) AS DOUBLE) / COUNT(*) AS avg_net_income "
+        "FROM (SELECT total_net_income, CAST(NTILE(4) OVER (ORDER BY total_net_income, provider_id) "
+        "AS BIGINT) AS quartile FROM ranked) GROUP BY quartile"
+    )
     load_costs = [JOBS, PHASES, OBJECTS, LOAD_RUNS, _run_costs("load_runs")]
     return {
         "flagship_q1": flagship_q1,
         "flagship_q2": flagship_q2,
         "flagship_q3": flagship_q3,
         "flagship_full": flagship_full,
+        "flagship_full_by_value": flagship_full,
         "sql_entry_q1": flagship_q1,
         "external_q1": flagship_q1,
         "external_q2": flagship_q2,
@@ -416,13 +424,8 @@ def oracle() -> dict[str, str]:
         "rank_distribution": _on_ranked(
             "SELECT income_rank, COUNT(*) AS providers FROM ranked GROUP BY income_rank"
         ),
-        "income_quartiles": _on_ranked(
-            "SELECT quartile, COUNT(*) AS providers, MIN(total_net_income) AS min_net_income, "
-            "MAX(total_net_income) AS max_net_income, "
-            "CAST(SUM(CAST(total_net_income AS DECIMAL(18,4))) AS DOUBLE) / COUNT(*) AS avg_net_income "
-            "FROM (SELECT total_net_income, CAST(NTILE(4) OVER (ORDER BY total_net_income, provider_id) "
-            "AS BIGINT) AS quartile FROM ranked) GROUP BY quartile"
-        ),
+        "income_quartiles": quartiles,
+        "income_quartiles_by_value": quartiles,
         "total_records": _stg("SELECT COUNT(*) AS count FROM stg"),
         "count_over_50_beds": _stg("SELECT COUNT(*) AS count FROM stg WHERE beds_number > 50"),
         "year_distribution": _stg(

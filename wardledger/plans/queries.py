@@ -55,6 +55,13 @@ def _analytics(operator) -> Query:
     return _on(bindings.analytics, operator)
 
 
+def _flagship_by_value(stg: DataFrame) -> DataFrame:
+    """The full report as it is ranked once a year outgrows one task."""
+    summary = yearly.with_neighbour_years(yearly.yearly_summary(yearly.cost_reports(stg)))
+    ranked = ranking.rank_incomes(summary, one_task_rows=0)
+    return ranked.select(*yearly.FLAGSHIP_COLUMNS)
+
+
 def _analytics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "analytics-table")
     ranked = yearly.flagship(bindings.staging(spark, sf_dir), limit=None)
@@ -360,6 +367,7 @@ QUERIES: dict[str, Query] = {
     "flagship_q2": _stg(lambda stg: yearly.flagship(stg, year=YEAR)),
     "flagship_q3": _stg(lambda stg: yearly.flagship(stg, year=YEAR, id_range=ID_RANGE)),
     "flagship_full": _stg(lambda stg: yearly.flagship(stg, limit=None)),
+    "flagship_full_by_value": _stg(_flagship_by_value),
     "sql_entry_q1": _stg(lambda stg: yearly.flagship_sql(stg, "stg_hospital_costs_view")),
     "external_q1": _external(yearly.flagship),
     "external_q2": _external(lambda ext: yearly.flagship(ext, year=YEAR)),
@@ -375,6 +383,9 @@ QUERIES: dict[str, Query] = {
     "yoy_growth_counts": _analytics(yearly.growth_counts),
     "rank_distribution": _analytics(yearly.rank_distribution),
     "income_quartiles": _analytics(ranking.income_quartiles),
+    "income_quartiles_by_value": _analytics(
+        lambda ranked: ranking.income_quartiles(ranked, one_task_rows=0)
+    ),
     # staging profile and staging queries
     "total_records": _stg(profile.row_count),
     "count_over_50_beds": _stg(lambda stg: profile.row_count(stg, F.col("beds_number") > 50)),
