@@ -59,6 +59,13 @@ HEADLINES = [
 ]
 
 
+def shuffled_bytes(spark) -> int:
+    """Bytes written to shuffles since the session started."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
 def seconds(action) -> float:
     start = time.perf_counter()
     action()
@@ -87,10 +94,12 @@ def main() -> None:
         "write_external": seconds(lambda: bindings.external_files(spark, SF_DIR)),
         "build_analytics": seconds(lambda: bindings.analytics_path(spark, SF_DIR)),
     }
-    cold, warm = {}, {}
+    cold, warm, shuffled = {}, {}, {}
     for name in HEADLINES:
         cold[name] = round(seconds(lambda: run(name)), 4)
+        before = shuffled_bytes(spark)
         warm[name] = round(statistics.median(seconds(lambda: run(name)) for _ in range(WARM)), 4)
+        shuffled[name] = (shuffled_bytes(spark) - before) // WARM
 
     external = native_names(read_external(spark, bindings.external_files(spark, SF_DIR)))
     runs = compare_layouts(bindings.staging(spark, SF_DIR), external, YEAR, ID_RANGE, WARM)
@@ -104,6 +113,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": warm,
                 "cold": cold,
+                "shuffled_bytes": shuffled,
                 "prepared": {k: round(v, 4) for k, v in prepared.items()},
                 "rows_per_sec": {
                     name: round(staged / warm[name])
