@@ -225,10 +225,10 @@ def network_cost(usage: DataFrame) -> DataFrame:
     )
 
 
-def end_to_end_cost(runs: DataFrame) -> DataFrame:
-    """Five cost parts and their total for every load run.
+def with_costs(runs: DataFrame) -> DataFrame:
+    """Add the five cost parts of a load run and their total.
 
-    ``runs`` has ``run_id, seconds, memory_mb, csv_bytes, logical_bytes,
+    ``runs`` has ``seconds, memory_mb, csv_bytes, logical_bytes,
     physical_bytes, processed_bytes, slot_ms``. Storage is charged for 30
     days, the client is an e2-micro, and the CSV bytes leave once.
     """
@@ -245,13 +245,20 @@ def end_to_end_cost(runs: DataFrame) -> DataFrame:
         "compute": after_discount(base, compute_discount_usd(machine, hours, base)),
         "network": network_usd(in_unit(F.col("csv_bytes"), GIB)),
     }
-    costs = runs.select("run_id", *[part.alias(f"{name}_usd") for name, part in parts.items()])
+    costs = runs.select("*", *[part.alias(f"{name}_usd") for name, part in parts.items()])
     total = F.col(f"{COMPONENTS[0]}_usd")
     for name in COMPONENTS[1:]:
         total = total + F.col(f"{name}_usd")
     return costs.select("*", total.alias("total_usd"))
 
 
+def end_to_end_cost(runs: DataFrame) -> DataFrame:
+    """The cost parts and total of every load run ``run_id``."""
+    return with_costs(runs).select(
+        "run_id", *[f"{name}_usd" for name in COMPONENTS], "total_usd"
+    )
+
+
 def cost_record(costs: DataFrame) -> DataFrame:
     """Nested form of ``end_to_end_cost``: total, breakdown, region."""
     breakdown = F.struct(*[F.col(f"{name}_usd") for name in COMPONENTS])

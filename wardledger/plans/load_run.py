@@ -84,7 +84,7 @@ def run_results(
         days.alias("num_partitions"),
     )
     raw_mb = in_unit(F.col("csv_bytes"), MIB)
-    return sizes.join(cost.end_to_end_cost(sizes), "run_id").select(
+    return cost.with_costs(sizes).select(
         F.col("run_id").alias("engine"),
         F.lit(at).alias("timestamp"),
         F.lit(0.0).alias("data_generation_seconds"),

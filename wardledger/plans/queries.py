@@ -314,24 +314,23 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("processed_bytes"),
         F.sum(F.col("total_slot_ms").cast("decimal(20,0)")).cast("double").alias("slot_ms"),
     )
-    joined = per_phase.join(stored, "engine").join(jobs, "engine")
-    costs = cost.end_to_end_cost(
-        joined.select(
-            F.col("engine").alias("run_id"),
+    costed = cost.with_costs(
+        per_phase.join(stored, "engine")
+        .join(jobs, "engine")
+        .select(
+            "*",
             F.col("data_generation_seconds").alias("seconds"),
             F.col("data_generation_memory_mb").alias("memory_mb"),
             logical.alias("csv_bytes"),
             logical.alias("logical_bytes"),
             physical.alias("physical_bytes"),
-            "processed_bytes",
-            "slot_ms",
         )
-    ).withColumnRenamed("run_id", "engine")
+    )
 
     def rounded(column):
         return F.round(column, 6).cast(measure)
 
-    return joined.join(costs, "engine").select(
+    return costed.select(
         "engine",
         F.lit("2024-01-01T00:00:00").alias("timestamp"),
         "data_generation_seconds",
