@@ -102,6 +102,18 @@ def test_ranks_by_value_match_brute_force(many):
         assert (row.income_rank, row.dense_income_rank) == expected[row.provider_id, row.report_year]
 
 
+@pytest.mark.parametrize("first, fanout", [(0.5, 2.0), (7.0, 5.0), (1e12, 3.0)])
+def test_ranks_do_not_depend_on_the_buckets(many, monkeypatch, first, fanout):
+    """Narrow buckets send ties, signs and NULLs through every level."""
+    monkeypatch.setattr(ranking, "FIRST_BUCKET", first)
+    monkeypatch.setattr(ranking, "FANOUT", fanout)
+    found = ranking.rank_incomes(yearly.yearly_summary(many), one_task_rows=0).collect()
+    expected = brute_ranks(found)
+    assert len(found) == 900
+    for row in found:
+        assert (row.income_rank, row.dense_income_rank) == expected[row.provider_id, row.report_year]
+
+
 def test_both_ways_of_ranking_agree(many):
     summary = yearly.with_neighbour_years(yearly.yearly_summary(many))
     one_task = sorted(map(str, ranking.rank_incomes(summary).collect()))

@@ -38,29 +38,34 @@ CASE WHEN abs(sum(shiftright({{units}}, {{bits}}))) < {{small_high}}
 END"""
 
 
-def _sum_of_units(text: str, name: str) -> Column:
-    return F.expr(
-        text.format(
-            units=f"CAST(rint(`{name}` * {UNITS_PER_DOLLAR}D) AS BIGINT)",
-            bits=SPLIT_BITS,
-            split=2**SPLIT_BITS,
-            mask=f"{2**SPLIT_BITS - 1}L",
-            small_high=f"{2**32}L",
-            small_low=f"{2**51}L",
-            per_dollar=UNITS_PER_DOLLAR,
-        )
+def _sum_of_units(text: str, name: str) -> str:
+    return text.format(
+        units=f"CAST(rint(`{name}` * {UNITS_PER_DOLLAR}D) AS BIGINT)",
+        bits=SPLIT_BITS,
+        split=2**SPLIT_BITS,
+        mask=f"{2**SPLIT_BITS - 1}L",
+        small_high=f"{2**32}L",
+        small_low=f"{2**51}L",
+        per_dollar=UNITS_PER_DOLLAR,
     )
 
 
+def total_sql(name: str) -> str:
+    """``total`` of a floating column as SQL text."""
+    return _sum_of_units(_DOUBLE_DOLLARS, name)
+
+
 def exact_total(df: DataFrame, name: str) -> Column:
     """Sum of a column as DECIMAL dollars, for sums that are summed again."""
-    return _sum_of_units(_DECIMAL_DOLLARS, name) if _is_float(df, name) else F.sum(name)
+    if _is_float(df, name):
+        return F.expr(_sum_of_units(_DECIMAL_DOLLARS, name))
+    return F.sum(name)
 
 
 def total(df: DataFrame, name: str) -> Column:
     """Sum of a column as DOUBLE, independent of row order."""
     if _is_float(df, name):
-        return _sum_of_units(_DOUBLE_DOLLARS, name)
+        return F.expr(total_sql(name))
     return F.sum(name).cast("double")
 
 

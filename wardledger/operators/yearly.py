@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wardledger.functions.dates import report_year, year_equals
-from wardledger.functions.money import mean, total
+from wardledger.functions.money import mean, total, total_sql
 from wardledger.operators.ranking import (
     ONE_TASK_ROWS,
     rank_incomes,
@@ -111,15 +111,16 @@ def flagship(
     )
 
 
-# The flagship query as SQL text over a registered view. ``first_rows`` cuts
-# the report before ranking, for the reason given in ``flagship``.
+# The flagship query as SQL text over a registered view. The sums are filled in
+# from ``money``; ``first_rows`` cuts the report before ranking, for the reason
+# given in ``flagship``.
 FLAGSHIP_SQL = """
 WITH yearly_summary AS (
   SELECT provider_id,
          CAST(year(report_period) AS BIGINT) AS report_year,
-         CAST(sum(CAST(total_expenses AS DECIMAL(18,4))) AS DOUBLE) AS total_expenses,
-         CAST(sum(CAST(total_charges AS DECIMAL(18,4))) AS DOUBLE) / count(total_charges) AS avg_charges,
-         CAST(sum(CAST(net_income AS DECIMAL(18,4))) AS DOUBLE) AS total_net_income
+         {expenses} AS total_expenses,
+         try_divide({charges}, count(total_charges)) AS avg_charges,
+         {income} AS total_net_income
   FROM {view}
   WHERE beds_number > 50
   GROUP BY provider_id, year(report_period)
@@ -148,7 +149,13 @@ ORDER BY report_year, income_rank, provider_id
 def flagship_sql(stg: DataFrame, view: str) -> DataFrame:
     """Register ``stg`` as a view and run the flagship query as SQL text."""
     stg.createOrReplaceTempView(view)
-    return stg.sparkSession.sql(FLAGSHIP_SQL.format(view=view))
+    text = FLAGSHIP_SQL.format(
+        view=view,
+        expenses=total_sql("total_expenses"),
+        charges=total_sql("total_charges"),
+        income=total_sql("net_income"),
+    )
+    return stg.sparkSession.sql(text)
 
 
 def top_k_per_year(ranked: DataFrame, k: int) -> DataFrame:
