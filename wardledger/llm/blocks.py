@@ -1,7 +1,8 @@
 """Documents packed into blocks of tokens, the unit in which corpus statistics are dealt out.
 
 A block holds whole documents of one input partition, about ``BLOCK`` tokens in all. Its
-tokens are numbers of its own distinct words, whose 64-bit hashes come along. What a block
+tokens are numbers of its own distinct words in order of first sight; the words' 64-bit
+hashes come along in ascending order, with the number of each. What a block
 asks of, or sends to, a bucket of a corpus-wide table is one packed row for each bucket,
 with every key once: a key that fills a third of the corpus costs one entry for each block.
 """
@@ -26,13 +27,15 @@ def blocks(batches):
 
     def block():
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+        order = np.argsort(hashes)
         return pa.RecordBatch.from_pydict({
             "block": [(part << 32) + number],
             "ids": pa.array([ids], pa.list_(pa.int64())),
             "held": pa.array([held], pa.list_(pa.bool_())),
             "lengths": [pack(np.array(lengths))],
             "tokens": [pack(np.concatenate(tokens))],
-            "hashes": [hashes.tobytes()],
+            "hashes": [pack(hashes[order])],
+            "numbers": [pack(order)],
             "trained": [sum(n for n, h in zip(lengths, held) if not h)],
             "documents": [len(held) - sum(held)],
         })
@@ -75,10 +78,15 @@ class _Numbers(dict):
 
 BLOCKS = (
     "block long, ids array<long>, held array<boolean>, lengths binary, tokens binary, "
-    "hashes binary, trained long, documents long"
+    "hashes binary, numbers binary, trained long, documents long"
 )
 
 
+def range_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each hash: equal ranges of the 64-bit numbers, so ascending hashes give ascending buckets."""
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def by_bucket(bucket: np.ndarray):
     """Stable order by bucket, and (bucket, from, to) of each."""
     order = np.argsort(bucket, kind="stable")

@@ -76,7 +76,10 @@ def _block_shingles(row) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of a block's documents, whose last token is their end."""
     lengths = unpack(row["lengths"]).astype(np.int64)
     tokens = np.delete(unpack(row["tokens"]), np.cumsum(lengths) - 1)
-    return shingles(np.frombuffer(row["hashes"], np.uint64)[tokens], lengths - 1)
+    hashes = unpack(row["hashes"])
+    of_number = np.empty_like(hashes)
+    of_number[unpack(row["numbers"])] = hashes
+    return shingles(of_number[tokens], lengths - 1)
 
 
 def _asked(keys: np.ndarray, buckets: int):

@@ -3,6 +3,7 @@
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,20 +38,25 @@ def words(text: bytes) -> list[bytes]:
 
 def as_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes, NULL as empty."""
-    import pyarrow as pa
-
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers in the narrowest width that holds them all; the first byte is the width."""
+    """Unsigned integers in the narrowest width that holds them all, byte planes compressed.
+
+    Layout: width (1 byte), number of values (8 bytes), Zstandard data of the first bytes of
+    all values, then all second bytes, and so on. Small or sorted numbers shrink most.
+    """
     most = int(values.max()) if len(values) else 0
     width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = pa.decompress(data[9:], n * width, "zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(width, n).T.copy().view(f"<u{width}")[:, 0]
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -73,7 +79,7 @@ def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 
 
 def drop_tables(spark: SparkSession, *paths: str) -> None:
-    """Delete written tables whose readers have finished.
+    """Delete written tables whose readers have finished, and free their shuffles.
 
     Files of shuffles that nothing refers to any more go when the driver collects
     its garbage; a long chain of large steps asks for that here, or the shuffles of
