@@ -13,13 +13,15 @@ at all, and cuts them into start regions:
    Otherwise its start regions are the shared ones among its first n - ceil(0.8 n) + 1
    shingles: two sets with similarity of 0.8 have one of those in common. Equal sets are
    one class from here on. Regions with the same members are one region.
-3. Each region takes a pivot. Members within the radius of the pivot are linked to it,
-   and so to each other: pairs among them need no further look. The pivot has met every
-   member and leaves. A region is done when what is left is one such group.
-4. Regions left with at most ``SMALL`` members are joined exactly inside a task. Larger ones
+3. Each region takes a pivot. Members within the radius of the pivot are linked to it, and
+   the pivot, which has met every member, leaves. A region is done when links connect all
+   that is left of it.
+4. Open regions of at most ``SMALL`` members are joined exactly inside a task. Larger ones
    take ``PIVOTS`` pivots and split into their Voronoi regions: a member goes to its nearest
    pivot, and also to every pivot that is at most twice the radius farther away, which by the
-   triangle inequality brings each pair of partners together. These go back to step 4.
+   triangle inequality brings each pair of partners together. A region whose windows would
+   replicate most members stays whole, without its pivots. All go back to the start of
+   step 4, until no region is open; every level takes pivots out of every region.
 
 The links are reduced to components with the smallest doc_id as their name.
 
@@ -42,8 +44,8 @@ from wardledger.llm.shared import drop_tables, mix, pack, shuffle_partitions, ta
 SHINGLE = 5
 PERCENT = 80
 RADIUS = 1 - PERCENT / 100
-SMALL = 64
-PIVOTS = 8
+SMALL = 128
+PIVOTS = 16
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -221,12 +223,26 @@ def _inside(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def _active(regions: DataFrame) -> DataFrame:
-    """Members (region, x, g, members) of the regions that still hold more than one group."""
-    size = regions.groupBy("region").agg(
-        F.count("*").alias("size"), F.min("g").alias("low"), F.max("g").alias("high")
-    )
-    return regions.join(size.where("low <> high").select("region", "size"), "region")
+def _one_of_equal(members: DataFrame) -> DataFrame:
+    """(region, size) of one region for each set of members (region, x); lone members need none."""
+    mark = F.xxhash64("x")
+    regions = members.groupBy("region").agg(
+        F.count("*").alias("size"), F.min("x").alias("least"), F.bit_xor(mark).alias("m1"),
+        F.sum(F.shiftright(F.xxhash64("x", F.lit(1)), 8)).alias("m2"),
+    ).where("size > 1")
+    return regions.groupBy("size", "least", "m1", "m2").agg(F.min("region").alias("region")).select("region", "size", "least")
+
+
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(region, x, g, size) of the regions whose members are not all connected by ``links`` yet.
+
+    g names the component of x so far; of regions with the same members one is left.
+    """
+    named = components(links).select(F.col("vertex").alias("x"), "component")
+    grouped = members.join(named, "x", "left").select("region", "x", F.coalesce("component", "x").alias("g"))
+    several = grouped.groupBy("region").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high")
+    grouped = grouped.join(several.select("region"), "region")
+    return grouped.join(_one_of_equal(grouped).drop("least"), "region")
 
 
 def region_links(classes: DataFrame) -> DataFrame:
@@ -234,56 +250,43 @@ def region_links(classes: DataFrame) -> DataFrame:
 
     ``classes``: (x, n, prefix, members), one row per distinct set.
     """
-    spark = classes.sparkSession
-    postings = classes.select("x", F.explode("prefix").alias("shingle"))
-    mark = F.xxhash64("x")
-    regions = (
-        postings.groupBy("shingle").agg(
-            F.count("*").alias("size"), F.min("x").alias("p"), F.bit_xor(mark).alias("m1"),
-            F.sum(F.shiftright(F.xxhash64("x", F.lit(1)), 8)).alias("m2"),
-        ).where("size > 1")
-    )
-    # Of the shingles with the same members, one region is left.
-    one = regions.groupBy("size", "p", "m1", "m2").agg(F.min("shingle").alias("shingle"))
-    members, members_path = write_table(
-        postings.join(one.select("shingle", "p"), "shingle").select(F.col("shingle").alias("region"), "x", "p"),
-        "regions",
+    sets = classes.select("x", "n", "members")
+    postings = classes.select("x", F.explode("prefix").alias("region"))
+    members, _ = write_table(
+        postings.join(_one_of_equal(postings), "region").select("region", "x", F.col("least").alias("p")), "regions"
     )
-    near, near_path = write_table(
-        _distances(members.where("x <> p").select("x", "p").distinct(), classes), "distances"
-    )
-    links = [near.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))]
-    left = members.where("x <> p").join(near.where("linked").select("x", "p", F.lit(True).alias("in_ball")), ["x", "p"], "left")
-    left = left.select("region", "x", F.when(F.col("in_ball"), F.col("p")).otherwise(F.col("x")).alias("g"))
+    near, _ = write_table(_distances(members.where("x <> p").select("x", "p").distinct(), classes), "distances")
+    links = near.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
+    left = members.where("x <> p").select("region", "x")
     level = 0
     while True:
-        active, path = write_table(_active(left), "active")
-        sets = classes.select("x", "n", "members")
-        small = active.where(F.col("size") <= SMALL).join(sets, "x")
-        found, _ = write_table(small.groupBy("region").applyInArrow(_inside, "a long, b long").distinct(), "links")
-        links.append(found)
-        large = active.where(F.col("size") > SMALL).drop("size")
+        members, _ = write_table(_open(left, links), "open-regions")
+        small = members.where(F.col("size") <= SMALL).join(sets, "x")
+        found = small.groupBy("region").applyInArrow(_inside, "a long, b long").distinct()
+        links, _ = write_table(links.unionByName(found), "jaccard-links")
+        large = members.where(F.col("size") > SMALL)
         if large.isEmpty():
-            break
+            return links
         level += 1
-        slot = F.pmod(F.xxhash64("x", F.lit(level)), F.lit(PIVOTS))
-        pivots = large.groupBy("region", slot.alias("slot")).agg(F.min("x").alias("p"))
+        # Pivots of different groups, as members of one group are no news to each other.
+        slot = F.pmod(F.xxhash64("g", F.lit(level)), F.lit(PIVOTS))
+        pivots, _ = write_table(large.groupBy("region", slot.alias("slot")).agg(F.min("x").alias("p")), "pivots")
         met = large.join(pivots.select("region", "p"), "region").where("x <> p")
         near, _ = write_table(_distances(met.select("x", "p").distinct(), classes), "distances")
-        links.append(near.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
+        links = links.unionByName(near.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
         gap = (1 - F.col("both") / F.col("either")).alias("gap")
         is_pivot = pivots.select("region", F.col("p").alias("x"))
-        seen = met.join(is_pivot, ["region", "x"], "left_anti").join(near, ["x", "p"]).select("region", "x", "g", "p", gap, "linked")
-        home = seen.groupBy("region", "x").agg(F.min("gap").alias("home"), F.min(F.when(F.col("linked"), F.col("p"))).alias("ball"))
+        seen = met.join(is_pivot, ["region", "x"], "left_anti").join(near, ["x", "p"]).select("region", "x", "p", "size", gap)
+        home = seen.groupBy("region", "x").agg(F.min("gap").alias("home"))
         # A small allowance keeps rounding from losing a boundary member.
         kept = seen.join(home, ["region", "x"]).where(F.col("gap") <= F.col("home") + 2 * RADIUS + 1e-9)
-        left = kept.select(F.xxhash64("region", "p").alias("region"), "x", F.coalesce("ball", "g").alias("g"))
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    result, _ = write_table(out, "jaccard-links")
-    drop_tables(spark, members_path, near_path)
-    return result
+        kept, _ = write_table(kept.select("region", "x", "p", "size"), "voronoi")
+        # Regions whose windows replicate most members anyway stay whole, without their pivots.
+        whole = kept.groupBy("region", "size").count().where("count > 2 * size").select("region")
+        left = (
+            kept.join(whole, "region", "left_anti").select(F.xxhash64("region", "p").alias("region"), "x")
+            .unionByName(kept.join(whole, "region", "left_semi").select("region", "x").distinct())
+        )
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
