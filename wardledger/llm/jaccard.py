@@ -13,7 +13,10 @@ at all, and cuts them into start regions:
    Otherwise its start regions are the shared ones among its first n - ceil(0.8 n) + 1
    shingles: two sets with similarity of 0.8 have one of those in common. Equal sets are
    one class from here on. Regions with the same members are one region.
-3. Each region takes a pivot. Members within the radius of the pivot are linked to it, and
+3. Distances are those of *sketches* (counts in 256 bins), a metric that is at most the
+   Jaccard distance, so its windows lose no pair. A pair that its sketches allow is verified
+   on the whole sets. Each region takes a pivot, and regions with the same pivot become one,
+   which only adds pairs to look at. Members within the radius of the pivot are linked to it, and
    the pivot, which has met every member, leaves. A region is done when links connect all
    that is left of it.
 4. Open regions of at most ``SMALL`` members are joined exactly inside a task. Larger ones
@@ -44,8 +47,9 @@ from wardledger.llm.shared import drop_tables, mix, pack, shuffle_partitions, ta
 SHINGLE = 5
 PERCENT = 80
 RADIUS = 1 - PERCENT / 100
-SMALL = 128
-PIVOTS = 16
+SMALL = 256
+PIVOTS = 32
+BINS = 256
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,7 +124,7 @@ def _counted(group: pa.Table) -> pa.Table:
     })
 
 
-SETS = "doc_id long, n_shingles long, digest binary, prefix array<long>, members binary"
+SETS = "doc_id long, n_shingles long, weight double, digest binary, prefix array<long>, sketch binary, members binary"
 
 
 def _sets(buckets):
@@ -138,7 +142,8 @@ def _sets(buckets):
         n = np.bincount(owner, minlength=len(row["ids"]))
         shared = np.bincount(owner, count > 1, minlength=len(n)).astype(np.int64)
         starts = np.cumsum(n) - n
-        out = {k: [None] * len(n) for k in ("digest", "prefix", "members")}
+        weight = np.bincount(owner, np.log2(count), minlength=len(n)) / np.maximum(n, 1)
+        out = {k: [None] * len(n) for k in ("digest", "prefix", "sketch", "members")}
         for i in np.flatnonzero((n > 0) & (100 * shared >= PERCENT * n)):
             if row["ids"][i] is None:
                 continue
@@ -148,11 +153,14 @@ def _sets(buckets):
             out["digest"][i] = xxhash.xxh3_128_digest(own.tobytes())
             out["prefix"][i] = own[rare[often[rare] > 1]].view(np.int64).tolist()
             out["members"][i] = own[often > 1].tobytes()
+            out["sketch"][i] = sketch(own[often > 1])
         return pa.table({
             "doc_id": pa.array(row["ids"], pa.int64()),
             "n_shingles": pa.array(n, pa.int64()),
+            "weight": pa.array(weight, pa.float64()),
             "digest": pa.array(out["digest"], pa.binary()),
             "prefix": pa.array(out["prefix"], pa.list_(pa.int64())),
+            "sketch": pa.array(out["sketch"], pa.binary()),
             "members": pa.array(out["members"], pa.binary()),
         })
 
@@ -186,106 +194,142 @@ def _overlap(a: bytes, b: bytes) -> int:
     return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
 
 
-def _measure(batches):
-    """Distance of each pair of sets; rows (x, n, members, p, p_n, p_members)."""
+def sketch(members: np.ndarray) -> bytes:
+    """How many members fall in each of ``BINS`` bins by hash.
+
+    The weighted Jaccard distance of two sketches is a metric and at most the Jaccard
+    distance of the sets: the smaller counts of each bin add up to the overlap or more.
+    """
+    return np.bincount((members >> np.uint64(40)) % np.uint64(BINS), minlength=BINS).astype("<u4").tobytes()
+
+
+def _compare(batches):
+    """Overlap that the sketches allow of each pair, and their distance."""
     for batch in batches:
-        x, n, a, p, m, b = (batch.column(i) for i in range(6))
-        both = [_overlap(s, t) for s, t in zip(a.to_pylist(), b.to_pylist())]
-        sizes = np.array(n) + np.array(m)
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, BINS) for i in (2, 3))
+        most = np.minimum(a, b).sum(axis=1).astype(np.int64)
+        either = a.sum(axis=1).astype(np.int64) + b.sum(axis=1).astype(np.int64) - most
         yield pa.RecordBatch.from_arrays(
-            [x, p, pa.array(both, pa.int64()), pa.array(sizes - np.array(both, np.int64), pa.int64())],
-            ["x", "p", "both", "either"],
+            [batch.column(0), batch.column(1), pa.array(most), pa.array(1 - most / np.maximum(either, 1))],
+            ["x", "p", "most", "gap"],
         )
 
 
-def _distances(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(x, p, both, either, linked) of distinct pairs (x, p) of classes."""
-    own = classes.select("x", "n", "members")
-    of_pivot = classes.select(F.col("x").alias("p"), F.col("n").alias("m"), F.col("members").alias("p_members"))
+def _sketch_gaps(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(x, p, gap, near) of distinct pairs: distance of the sketches; near: a link is possible."""
+    own = classes.select("x", "n", F.col("sketch").alias("a"))
+    other = own.select(F.col("x").alias("p"), F.col("n").alias("m"), F.col("a").alias("b"))
+    sized = pairs.join(own, "x").join(other, "p")
+    gaps = sized.select("x", "p", "a", "b").mapInArrow(_compare, "x long, p long, most long, gap double")
+    sizes = classes.select("x", "n")
     return (
-        pairs.join(own, "x").join(of_pivot, "p").select("x", "n", "members", "p", "m", "p_members")
-        .mapInArrow(_measure, "x long, p long, both long, either long")
-        .withColumn("linked", F.expr(f"100 * both >= {PERCENT} * either"))
+        gaps.join(sizes, "x").join(sizes.select(F.col("x").alias("p"), F.col("n").alias("m")), "p")
+        .select("x", "p", "gap", F.expr(f"100 * most >= {PERCENT} * (n + m - most)").alias("near"))
     )
 
 
+def _verify(batches):
+    """Rows (x, n, members, p, m, p_members) -> the pairs that are linked."""
+    for batch in batches:
+        x, n, a, p, m, b = (batch.column(i).to_pylist() for i in range(6))
+        kept = []
+        for i in range(len(x)):
+            both = _overlap(a[i], b[i])
+            if 100 * both >= PERCENT * (n[i] + m[i] - both):
+                kept.append(i)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[i] for i in kept], pa.int64()), pa.array([p[i] for i in kept], pa.int64())], ["a", "b"]
+        )
+
+
+def _linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) among the distinct pairs (x, p), by their whole sets."""
+    own = classes.select("x", "n", "members")
+    other = own.select(F.col("x").alias("p"), F.col("n").alias("m"), F.col("members").alias("p_members"))
+    rows = pairs.select("x", "p").join(own, "x").join(other, "p").select("x", "n", "members", "p", "m", "p_members")
+    return rows.mapInArrow(_verify, "a long, b long")
+
+
 def _inside(group: pa.Table) -> pa.Table:
-    """All links between the groups of one small region."""
+    """Pairs between different groups of one small region: all that are left to look at."""
     rows = sorted(group.to_pylist(), key=lambda r: r["x"])
-    links = []
-    for i, r in enumerate(rows):
-        for s in rows[:i]:
-            if r["g"] == s["g"] or 100 * min(r["n"], s["n"]) < PERCENT * max(r["n"], s["n"]):
-                continue
-            both = _overlap(r["members"], s["members"])
-            if 100 * both >= PERCENT * (r["n"] + s["n"] - both):
-                links.append((r["x"], s["x"]))
-    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+    pairs = [
+        (r["x"], s["x"]) for i, r in enumerate(rows) for s in rows[:i]
+        if r["g"] != s["g"] and 100 * min(r["n"], s["n"]) >= PERCENT * max(r["n"], s["n"])
+    ]
+    return pa.table({"x": pa.array([x for x, _ in pairs], pa.int64()), "p": pa.array([p for _, p in pairs], pa.int64())})
+
+
+#: The pivot of a region: the member whose shingles are the most common ones. Of copies with
+#: small changes it is the one nearest to all others.
+CENTRE = "max_by(x, struct(weight, -x))"
 
 
 def _one_of_equal(members: DataFrame) -> DataFrame:
-    """(region, size) of one region for each set of members (region, x); lone members need none."""
+    """(region, size, p) of one region for each set of members (region, x, weight), with its pivot."""
     mark = F.xxhash64("x")
     regions = members.groupBy("region").agg(
-        F.count("*").alias("size"), F.min("x").alias("least"), F.bit_xor(mark).alias("m1"),
+        F.count("*").alias("size"), F.expr(CENTRE).alias("p"), F.bit_xor(mark).alias("m1"),
         F.sum(F.shiftright(F.xxhash64("x", F.lit(1)), 8)).alias("m2"),
     ).where("size > 1")
-    return regions.groupBy("size", "least", "m1", "m2").agg(F.min("region").alias("region")).select("region", "size", "least")
+    return regions.groupBy("size", "p", "m1", "m2").agg(F.min("region").alias("region")).select("region", "size", "p")
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(region, x, g, size) of the regions whose members are not all connected by ``links`` yet.
+    """(region, x, weight, g, size) of the regions whose members ``links`` do not connect yet.
 
-    g names the component of x so far; of regions with the same members one is left.
+    Members with the same g are connected; of regions with the same members one is left.
     """
-    named = components(links).select(F.col("vertex").alias("x"), "component")
-    grouped = members.join(named, "x", "left").select("region", "x", F.coalesce("component", "x").alias("g"))
+    named = components(links).select(F.col("vertex").alias("x"), F.col("component").alias("label"))
+    grouped = members.join(named, "x", "left").select("region", "x", "weight", F.coalesce("label", "x").alias("g"))
     several = grouped.groupBy("region").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high")
     grouped = grouped.join(several.select("region"), "region")
-    return grouped.join(_one_of_equal(grouped).drop("least"), "region")
+    return grouped.join(_one_of_equal(grouped).drop("p"), "region")
 
 
 def region_links(classes: DataFrame) -> DataFrame:
     """Steps 3 and 4: links (a, b) that connect what similarity connects.
 
-    ``classes``: (x, n, prefix, members), one row per distinct set.
+    ``classes``: (x, n, weight, prefix, members), one row per distinct set.
     """
-    sets = classes.select("x", "n", "members")
-    postings = classes.select("x", F.explode("prefix").alias("region"))
+    sizes = classes.select("x", "n")
+    postings = classes.select("x", "weight", F.explode("prefix").alias("region"))
     members, _ = write_table(
-        postings.join(_one_of_equal(postings), "region").select("region", "x", F.col("least").alias("p")), "regions"
+        postings.join(_one_of_equal(postings), "region").select("region", "x", "weight", "p"), "regions"
     )
-    near, _ = write_table(_distances(members.where("x <> p").select("x", "p").distinct(), classes), "distances")
-    links = near.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
-    left = members.where("x <> p").select("region", "x")
+    met = members.where("x <> p").select("x", "p").distinct()
+    links, _ = write_table(_linked(_sketch_gaps(met, classes).where("near"), classes), "jaccard-links")
+    # From here on, the region of a pivot is all that shares a start region with it.
+    left = members.where("x <> p").select(F.col("p").alias("region"), "x", "weight").distinct()
     level = 0
     while True:
         members, _ = write_table(_open(left, links), "open-regions")
-        small = members.where(F.col("size") <= SMALL).join(sets, "x")
-        found = small.groupBy("region").applyInArrow(_inside, "a long, b long").distinct()
-        links, _ = write_table(links.unionByName(found), "jaccard-links")
+        small = members.where(F.col("size") <= SMALL).join(sizes, "x")
+        pairs, _ = write_table(small.groupBy("region").applyInArrow(_inside, "x long, p long").distinct(), "pairs")
+        found = _linked(_sketch_gaps(pairs, classes).where("near"), classes)
         large = members.where(F.col("size") > SMALL)
         if large.isEmpty():
-            return links
+            return write_table(links.unionByName(found), "jaccard-links")[0]
         level += 1
         # Pivots of different groups, as members of one group are no news to each other.
         slot = F.pmod(F.xxhash64("g", F.lit(level)), F.lit(PIVOTS))
-        pivots, _ = write_table(large.groupBy("region", slot.alias("slot")).agg(F.min("x").alias("p")), "pivots")
+        pivots, _ = write_table(large.groupBy("region", slot.alias("slot")).agg(F.expr(CENTRE).alias("p")), "pivots")
         met = large.join(pivots.select("region", "p"), "region").where("x <> p")
-        near, _ = write_table(_distances(met.select("x", "p").distinct(), classes), "distances")
-        links = links.unionByName(near.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
-        gap = (1 - F.col("both") / F.col("either")).alias("gap")
+        gaps, _ = write_table(_sketch_gaps(met.select("x", "p").distinct(), classes), "gaps")
+        links, _ = write_table(
+            links.unionByName(found).unionByName(_linked(gaps.where("near"), classes)), "jaccard-links"
+        )
         is_pivot = pivots.select("region", F.col("p").alias("x"))
-        seen = met.join(is_pivot, ["region", "x"], "left_anti").join(near, ["x", "p"]).select("region", "x", "p", "size", gap)
+        seen = met.join(is_pivot, ["region", "x"], "left_anti").join(gaps, ["x", "p"]).select("region", "x", "weight", "p", "size", "gap")
         home = seen.groupBy("region", "x").agg(F.min("gap").alias("home"))
         # A small allowance keeps rounding from losing a boundary member.
         kept = seen.join(home, ["region", "x"]).where(F.col("gap") <= F.col("home") + 2 * RADIUS + 1e-9)
-        kept, _ = write_table(kept.select("region", "x", "p", "size"), "voronoi")
+        kept, _ = write_table(kept.select("region", "x", "weight", "p", "size"), "voronoi")
         # Regions whose windows replicate most members anyway stay whole, without their pivots.
         whole = kept.groupBy("region", "size").count().where("count > 2 * size").select("region")
         left = (
-            kept.join(whole, "region", "left_anti").select(F.xxhash64("region", "p").alias("region"), "x")
-            .unionByName(kept.join(whole, "region", "left_semi").select("region", "x").distinct())
+            kept.join(whole, "region", "left_anti").select(F.xxhash64("region", "p").alias("region"), "x", "weight")
+            .unionByName(kept.join(whole, "region", "left_semi").select("region", "x", "weight").distinct())
         )
 
 
@@ -297,7 +341,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     classes, _ = write_table(
         possible.join(class_of, (possible.digest == class_of.digest) & (possible.doc_id == class_of.x), "left_semi")
         .dropDuplicates(["digest"])
-        .select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "prefix", "members"),
+        .select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "weight", "prefix", "sketch", "members"),
         "classes",
     )
     links = region_links(classes)
