@@ -48,7 +48,7 @@ SHINGLE = 5
 PERCENT = 80
 RADIUS = 1 - PERCENT / 100
 SMALL = 256
-PIVOTS = 32
+PIVOTS = 128
 BINS = 256
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
