@@ -34,6 +34,9 @@ REMEMBER = 600_000
 SPLIT = {"word_bpe_49k.json": "words", "byte_bpe_50k.json": "spaces"}
 _JOINED = re.compile(r"\s (?:\s|$)")
 
+#: Punctuation that never joins a letter or digit before it in one token; the apostrophe may.
+PUNCTUATION = b".,!?#$%&*:;|"
+
 _encoders: dict[tuple, "Encoder"] = {}
 
 
@@ -61,8 +64,8 @@ class Encoder:
 
     def pieces(self, data: bytes) -> list[bytes] | None:
         """Pieces whose ids, one after the other, are those of the text; None: encode it whole."""
-        if self.split == "words":
-            return data.split()
+        if self.split == "words":  # this kind folds case itself, but finds special tokens before
+            return data.split() if b"<|" in data else data.lower().split()
         if self.split == "spaces":
             text = data.decode()
             if _JOINED.search(text) or any(s in text for s in self.special):
@@ -77,16 +80,29 @@ class Encoder:
             return piece.decode()
         return (piece[1:] if piece[:1] == b"\0" else b" " + piece).decode()
 
+    def core(self, piece: bytes) -> tuple[bytes, bytes] | None:
+        """A piece that ends in punctuation as two pieces."""
+        core = piece.rstrip(PUNCTUATION)
+        last = core[-4:].decode(errors="ignore")[-1:]
+        # A letter whose lower case ends in a combining mark would join the punctuation.
+        if core == piece or not last.isalnum() or len(last.lower()) > 1:
+            return None
+        end = piece[len(core) :]
+        return core, end if self.split == "words" else b"\0" + end
+
     def encode(self, texts: list[bytes]):
         """For each text the values of its pieces."""
         if len(self.known) > REMEMBER:
             self.known.clear()
         cut = [None if b"\0" in t else self.pieces(t) for t in texts]
         known = self.known
-        new = list({p for parts in cut if parts for p in parts if p not in known})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
+        new = {p for parts in cut if parts for p in parts if p not in known}
+        ends = {p: c for p in new if (c := self.core(p))}
+        alone = [p for p in {*(new - ends.keys()), *(c for c, _ in ends.values()), *(e for _, e in ends.values())} if p not in known]
+        for i in range(0, len(alone), 4096):
+            some = alone[i : i + 4096]
             known.update(zip(some, self.whole([self.text_of(p) for p in some])))
+        known.update((p, known[c] + known[e]) for p, (c, e) in ends.items())
         rest = [i for i, parts in enumerate(cut) if parts is None]
         whole = dict(zip(rest, self.whole([texts[i].decode() for i in rest])))
         return [[whole[i]] if parts is None else list(map(known.__getitem__, parts)) for i, parts in enumerate(cut)]
