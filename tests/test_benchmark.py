@@ -1,3 +1,4 @@
+import pytest
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def test_phases(spark):
         "engine string, phase string, seconds decimal(12,2), cpu_percent int, memory_mb int",
     )
     assert sorted(rows(benchmark.engine_comparison(df))) == [
-        ("native", 0.0, 1.25, 2.0, 3.25), ("spark", 0.0, 4.0, 0.0, 4.0),
+        ("native", 0.0, 1.25, 2.0, 0.0, 3.25), ("spark", 0.0, 4.0, 0.0, 0.0, 4.0),
     ]
     assert sorted(rows(benchmark.phase_rollup(df))) == [("native", 3.25, 150), ("spark", 4.0, 120)]
     assert sorted(rows(benchmark.resource_samples_summary(df))) == [
@@ -52,6 +53,14 @@ def test_phases(spark):
     ]
 
 
+def test_phases_of_any_name_count(spark):
+    df = spark.createDataFrame(
+        [("spark", "upload", 2.0), ("spark", "data_load", 0.8), ("spark", None, 0.4)], "engine string, phase string, seconds double"
+    )
+    row = benchmark.engine_comparison(df).first()
+    assert (row.data_load, row.other, row.total) == (0.8, 2.4, pytest.approx(3.2))
+
+
 def test_storage_ratio_of_an_empty_table_is_zero(spark):
     df = spark.createDataFrame(
         [(1, 12363, 26447), (2, 0, 5)], "object_id long, size_bytes long, physical_bytes long"

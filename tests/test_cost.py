@@ -138,3 +138,11 @@ def test_sizes_attach_to_costs(spark):
     files = spark.createDataFrame([(1, 10), (2, 20)], "object_id long, size_bytes long")
     costs = spark.createDataFrame([(1, 0.5)], "object_id long, total double")
     assert sorted(rows(cost.storage_cost_joined(files, costs))) == [(1, 10, 0.5), (2, 20, None)]
+
+
+def test_shares_of_a_run_of_the_smallest_size(spark):
+    names = [f"{name}_usd" for name in cost.COMPONENTS]
+    usd = {n: 0.0 for n in names} | {"cloud_storage_usd": 7.546887844800948e-07, "table_storage_usd": 2.3027881979942324e-07}
+    costs = spark.createDataFrame([tuple(usd.values())], ", ".join(f"{n} double" for n in usd))
+    shares = {r.component: r.share for r in cost.cost_share(costs).collect()}
+    assert (shares["cloud_storage"], shares["table_storage"]) == (0.766207, 0.233793)

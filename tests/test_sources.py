@@ -176,3 +176,15 @@ def test_reconciliation_counts_copies(reports):
 
 def test_connection_probe(spark):
     assert rows(staging.connection_probe(spark)) == [(1, "connection_test")]
+
+
+def test_newest_batch_of_any_name(spark):
+    def newest(*names):
+        files = spark.createDataFrame([(f"file:/x/{n}",) for n in names], "path string")
+        return landing.newest_batch(files).first().batch_name
+
+    again = "hospital_cost_sample_5rows_20250101_000000_20260202_101010"
+    assert newest("hospital_cost_sample_9rows_20260101_000000.csv", f"{again}.csv", "other_20270101_000000.csv") == again
+    assert newest("hospital_cost_sample.csv", "hospital_cost_sample_x_20200101_000000.csv") == "hospital_cost_sample_x_20200101_000000"
+    assert newest("batch_name=hospital_cost_sample_a_20250101_000000/p.csv", "batch_name=hospital_cost_sample_b_20250101_000000/p.csv") == "hospital_cost_sample_b_20250101_000000"
+    assert newest("hospital_cost_sample.csv") == "hospital_cost_sample"

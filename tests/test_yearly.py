@@ -95,7 +95,7 @@ def test_limited_report_has_the_ranks_of_the_full_one(many):
 
 def test_ranks_by_value_match_brute_force(many):
     summary = yearly.with_neighbour_years(yearly.yearly_summary(many))
-    found = ranking.rank_incomes(summary, one_task_rows=0).collect()
+    found = ranking.rank_incomes(summary).collect()
     assert len(found) == summary.count()
     expected = brute_ranks(found)
     for row in found:
@@ -107,18 +107,20 @@ def test_ranks_do_not_depend_on_the_buckets(many, monkeypatch, first, fanout):
     """Narrow buckets send ties, signs and NULLs through every level."""
     monkeypatch.setattr(ranking, "FIRST_BUCKET", first)
     monkeypatch.setattr(ranking, "FANOUT", fanout)
-    found = ranking.rank_incomes(yearly.yearly_summary(many), one_task_rows=0).collect()
+    found = ranking.rank_incomes(yearly.yearly_summary(many)).collect()
     expected = brute_ranks(found)
     assert len(found) == 900
     for row in found:
         assert (row.income_rank, row.dense_income_rank) == expected[row.provider_id, row.report_year]
 
 
-def test_both_ways_of_ranking_agree(many):
+def test_ranks_agree_with_windows_and_no_window_holds_a_year(many):
     summary = yearly.with_neighbour_years(yearly.yearly_summary(many))
-    one_task = sorted(map(str, ranking.rank_incomes(summary).collect()))
-    by_value = sorted(map(str, ranking.rank_incomes(summary, one_task_rows=0).collect()))
-    assert one_task == by_value
+    ranked = ranking.rank_incomes(summary)
+    by_window = sorted(map(str, ranking.rank_incomes_in_one_task(summary).select(*ranked.columns).collect()))
+    assert by_window == sorted(map(str, ranked.collect()))
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(" not in plan and "bucket" in plan
 
 
 @pytest.fixture
@@ -149,7 +151,7 @@ def test_many_equal_incomes_are_split_over_tasks(spark, small_partitions):
         yearly.F.lit(2023).cast("bigint").alias("report_year"),
         income.alias("total_net_income"),
     )
-    ranked = ranking.rank_incomes(summary, one_task_rows=0)
+    ranked = ranking.rank_incomes(summary)
     assert len(ranked.collect()) == 200_000
     assert "skew=true" in ranked._jdf.queryExecution().executedPlan().toString()
     assert ranked.filter("income_rank = 133334").count() == 66_667
@@ -170,8 +172,6 @@ def test_buckets_bound_the_windows(many):
 def test_quartiles_agree_with_ntile(many, tiles):
     ranked = flagship(many, limit=None)
     small = sorted(map(tuple, ranking.income_quartiles(ranked, tiles).collect()))
-    large = sorted(map(tuple, ranking.income_quartiles(ranked, tiles, one_task_rows=0).collect()))
-    assert small == large
     incomes = sorted(r.total_net_income for r in ranked.collect() if r.total_net_income is not None)
     base, extra = divmod(len(incomes), tiles)
     start = 0

@@ -75,14 +75,17 @@ def benchmark_overall(runs: DataFrame) -> DataFrame:
 
 
 def engine_comparison(phases: DataFrame) -> DataFrame:
-    """Seconds per phase, one column each, and in total, per engine."""
-    pivoted = phases.groupBy("engine").pivot("phase", PHASES).agg(F.sum("seconds"))
-    seconds = [F.coalesce(F.col(p), F.lit(0)) for p in PHASES]
-    total = seconds[0] + seconds[1] + seconds[2]
-    return pivoted.select(
-        "engine",
-        *[s.cast("double").alias(p) for s, p in zip(seconds, PHASES)],
-        total.cast("double").alias("total"),
+    """Seconds of the usual phases, of all others together, and in total, per engine."""
+    phase, seconds = F.col("phase"), F.col("seconds")
+    usual = F.coalesce(phase.isin(PHASES), F.lit(False))
+
+    def total(rows: Column) -> Column:
+        return F.coalesce(F.sum(F.when(rows, seconds)), F.lit(0)).cast("double")
+
+    return phases.groupBy("engine").agg(
+        *[total(phase == p).alias(p) for p in PHASES],
+        total(~usual).alias("other"),
+        total(F.lit(True)).alias("total"),
     )
 
 

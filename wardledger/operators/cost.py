@@ -270,21 +270,21 @@ def cost_record(costs: DataFrame) -> DataFrame:
     )
 
 
-def _stable_sum(name: str) -> Column:
-    """Sum of a DOUBLE column to the micro-dollar, whatever the order."""
-    return F.round(F.coalesce(F.sum(name), F.lit(0.0)), 6)
+def _exact_sum(name: str) -> Column:
+    """Sum of a DOUBLE column that no order of tasks changes, in steps of 1e-18 dollars."""
+    return F.coalesce(F.sum(F.col(name).cast("decimal(38,18)")), F.lit(0)).cast("double")
 
 
 def cost_share(costs: DataFrame) -> DataFrame:
-    """Sum of each cost part over all runs and its share of the total."""
-    sums = costs.agg(*[_stable_sum(f"{name}_usd").alias(name) for name in COMPONENTS])
+    """Sum of each cost part over all runs and its share of the total; only the results are rounded."""
+    sums = costs.agg(*[_exact_sum(f"{name}_usd").alias(name) for name in COMPONENTS])
     total = F.col(COMPONENTS[0])
     for name in COMPONENTS[1:]:
         total = total + F.col(name)
     rows = [
         F.struct(
             F.lit(name).alias("component"),
-            F.col(name).alias("usd"),
+            F.round(F.col(name), 6).alias("usd"),
             F.round(F.try_divide(F.col(name), total), 6).alias("share"),
         )
         for name in COMPONENTS

@@ -1,7 +1,7 @@
 """Ranks and quartiles of income without a task per year.
 
 ``RANK() OVER (PARTITION BY report_year ...)`` moves a whole year to one task.
-That is kept only where a count shows the largest year to be small. Otherwise:
+Instead, at every size:
 
 1. provider-years collapse to distinct incomes with their counts, so any number
    of equal incomes is one row;
@@ -19,9 +19,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardledger.session import materialise
 
-# Largest year that may be ranked by one task.
-ONE_TASK_ROWS = 1_000_000
-
 # Incomes are sums of four-decimal amounts: a bucket of 100 holds at most a
 # million different ones, and each wider bucket a million narrower ones.
 FIRST_BUCKET = 100.0
@@ -99,7 +96,7 @@ def value_positions(
 
 
 def rank_incomes_in_one_task(rows: DataFrame) -> DataFrame:
-    """RANK and DENSE_RANK by plain windows, for inputs of bounded size."""
+    """RANK and DENSE_RANK by plain windows, for rows that a limit has brought to one task."""
     year = Window.partitionBy("report_year").orderBy(F.desc_nulls_last("total_net_income"))
     return rows.select(
         "*",
@@ -126,18 +123,12 @@ def rank_incomes_by_value(rows: DataFrame) -> DataFrame:
     return rows.join(ranks, same).drop("ranked_year", "ranked_income")
 
 
-def rank_incomes(rows: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def rank_incomes(rows: DataFrame) -> DataFrame:
     """Rank all provider-years by income within their year.
 
-    ``rows`` is written once, because both the size check and the ranks read
-    it again; the check scans one column and returns one number.
+    ``rows`` is written once, because the ranks and their join back both read it.
     """
-    table = materialise(rows, "provider-years")
-    years = table.groupBy("report_year").agg(F.count("*").alias("n"))
-    largest = years.agg(F.max("n")).first()[0] or 0
-    if largest <= one_task_rows:
-        return rank_incomes_in_one_task(table)
-    return rank_incomes_by_value(table)
+    return rank_incomes_by_value(materialise(rows, "provider-years"))
 
 
 def _tile_sums(pieces: DataFrame) -> DataFrame:
@@ -153,35 +144,23 @@ def _tile_sums(pieces: DataFrame) -> DataFrame:
     )
 
 
-def income_quartiles(
-    ranked: DataFrame, tiles: int = 4, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def income_quartiles(ranked: DataFrame, tiles: int = 4) -> DataFrame:
     """NTILE over all known incomes, summed up per tile.
 
     Providers with the same income are interchangeable for these sums, so a
-    tile border inside a run of equal incomes only splits its count. Past the
-    size one task may sort, tiles follow from the positions of the distinct
-    incomes, and no row order has to be built.
+    tile border inside a run of equal incomes only splits its count. Tiles follow
+    from the positions of the distinct incomes, and no row order has to be built.
     """
     known = ranked.filter(F.col("total_net_income").isNotNull())
-    size = known.count()
-    if size <= one_task_rows:
-        everything = Window.orderBy("total_net_income")
-        return _tile_sums(
-            known.select(
-                F.ntile(tiles).over(everything).alias("tile"),
-                F.col("total_net_income").alias("key"),
-                F.lit(1).cast("bigint").alias("providers"),
-            )
-        )
     # One group over everything: the buckets keep its windows bounded.
     values = value_positions(known, F.lit(1), "total_net_income", descending=False)
-    base, extra = divmod(size, tiles)
+    size = known.select(F.count("*")).scalar()
+    base, extra = F.floor(size / tiles), size % tiles
     bounds = [
         F.struct(
             F.lit(t + 1).alias("tile"),
-            F.lit(t * base + min(t, extra)).alias("start"),
-            F.lit((t + 1) * base + min(t + 1, extra)).alias("end"),
+            (t * base + F.least(F.lit(t), extra)).alias("start"),
+            ((t + 1) * base + F.least(F.lit(t + 1), extra)).alias("end"),
         )
         for t in range(tiles)
     ]

@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wardledger.functions.dates import report_year, year_equals
 from wardledger.functions.money import mean, total, total_sql
 from wardledger.operators.ranking import (
-    ONE_TASK_ROWS,
     rank_incomes,
     rank_incomes_in_one_task,
 )
@@ -88,9 +87,8 @@ def flagship(
 
     With a limit, the report is cut *before* ranking. Its order is year, then
     falling income, and a rank depends only on rows earlier in that order, so
-    ranks inside the first ``limit`` rows equal the ranks over all rows. No
-    task ever holds a whole year. A limit past what one task may hold only
-    cuts the full report.
+    ranks inside the first ``limit`` rows equal the ranks over all rows. The
+    limit brings its rows to one task, and ranking them there adds nothing to it.
     """
     rows = with_neighbour_years(
         yearly_summary(cost_reports(stg, min_beds, year, id_range))
@@ -98,9 +96,6 @@ def flagship(
     report_order = ["report_year", "income_rank", "provider_id"]
     if limit is None:
         return rank_incomes(rows).select(*FLAGSHIP_COLUMNS)
-    if limit > ONE_TASK_ROWS:
-        ranked = rank_incomes(rows).select(*FLAGSHIP_COLUMNS)
-        return ranked.orderBy(*report_order).limit(limit)
     first = rows.orderBy(
         F.asc_nulls_first("report_year"),
         F.desc_nulls_last("total_net_income"),

@@ -122,14 +122,17 @@ NINE = (
     "provider_id, hospital_name, city, state, beds_number, report_period, "
     "total_expenses, total_charges, net_income"
 )
-# The same columns in the types of the fixed schema.
-NINE_TYPED = (
+# All columns in the types of the fixed schema.
+ALL_TYPED = (
     "provider_id, hospital_name, city, state, CAST(beds_number AS BIGINT) AS {beds}, "
     "report_period AS {period}, CAST(total_expenses AS DOUBLE) AS total_expenses, "
-    "CAST(total_charges AS DOUBLE) AS total_charges, CAST(net_income AS DOUBLE) AS net_income"
+    "CAST(total_charges AS DOUBLE) AS total_charges, CAST(net_income AS DOUBLE) AS net_income, "
+    "CAST(beds_number * 275 AS BIGINT) AS patient_days, CAST(beds_number * 30 AS BIGINT) AS discharges, "
+    "CAST(beds_number * 5 AS BIGINT) AS fte_employees, CAST(beds_number * 140 AS BIGINT) AS medicare_days, "
+    "CAST(beds_number * 75 AS BIGINT) AS medicaid_days"
 )
-NATIVE_TYPED = NINE_TYPED.format(beds="beds_number", period="report_period")
-EXTERNAL_TYPED = NINE_TYPED.format(beds="beds", period="reporting_period_end")
+NATIVE_TYPED = ALL_TYPED.format(beds="beds_number", period="report_period")
+EXTERNAL_TYPED = ALL_TYPED.format(beds="beds", period="reporting_period_end")
 
 
 def _bands(bounds: list[tuple[int, str]], last: str) -> str:
@@ -232,11 +235,11 @@ COMPONENTS = ["cloud_storage", "query", "table_storage", "compute", "network"]
 
 def _cost_share() -> str:
     sums = ", ".join(
-        f"ROUND(COALESCE(SUM({c}_usd), {_d(0.0)}), 6) AS {c}" for c in COMPONENTS
+        f"COALESCE(SUM({c}_usd), {_d(0.0)}) AS {c}" for c in COMPONENTS
     )
     total = " + ".join(COMPONENTS)
     rows = " UNION ALL ".join(
-        f"SELECT '{c}' AS component, {c} AS usd, "
+        f"SELECT '{c}' AS component, ROUND({c}, 6) AS usd, "
         f"ROUND(CASE WHEN {total} = 0 THEN NULL ELSE {c} / ({total}) END, 6) AS share FROM sums"
         for c in COMPONENTS
     )
@@ -562,8 +565,20 @@ def oracle() -> dict[str, str]:
             + "], recursive := true) FROM customer c LEFT JOIN stg s ON s.provider_id = c.c_custkey + 100000)"
         ),
         "load_reconciliation": _stg(
-            "SELECT COUNT(*) AS source_rows, COUNT(*) AS target_rows, CAST(0 AS BIGINT) AS missing, "
-            "CAST(0 AS BIGINT) AS extra FROM stg"
+            "SELECT COUNT(*) AS source_rows, "
+            "SUM(CASE WHEN p % 7 = 0 THEN 0 WHEN p % 5 = 0 THEN 2 ELSE 1 END)::BIGINT AS target_rows, "
+            "SUM(CASE WHEN p % 7 = 0 OR p % 11 = 0 THEN 1 ELSE 0 END)::BIGINT AS missing, "
+            "SUM(CASE WHEN p % 7 = 0 THEN 0 WHEN p % 11 = 0 AND p % 5 = 0 THEN 2 "
+            "WHEN p % 11 = 0 OR p % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS extra "
+            "FROM (SELECT provider_id AS p FROM stg)"
+        ),
+        "storage_metrics": _stg(
+            "SELECT report_period, COUNT(*) AS rows, TRUE AS all_sized, TRUE AS paths_distinct "
+            "FROM stg GROUP BY report_period"
+        ),
+        "yearly_summary_sample": _with(
+            STG, _summary(),
+            body="SELECT LEAST(10, COUNT(*)) AS rows, LEAST(10, COUNT(*)) AS rows_in_summary FROM yearly_summary",
         ),
         "synthetic_hospitals": _synthetic(),
         "hospital_display_name": _stg(
@@ -688,6 +703,8 @@ diffs AS (SELECT *, ROUND((external - native) / native * 100, 1) + CAST(0 AS DOU
                 f"CAST(COALESCE(SUM(CASE WHEN phase = '{p}' THEN seconds END), 0) AS DOUBLE) AS {p}"
                 for p in ("data_generation", "data_load", "analytics")
             )
+            + ", CAST(COALESCE(SUM(CASE WHEN phase IN ('data_generation', 'data_load', 'analytics') "
+            "THEN NULL ELSE seconds END), 0) AS DOUBLE) AS other"
             + f", {_total('seconds')} AS total FROM phases GROUP BY engine",
         ),
         "engine_cost_comparison": _with(

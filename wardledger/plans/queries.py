@@ -56,9 +56,9 @@ def _analytics(operator) -> Query:
 
 
 def _flagship_by_value(stg: DataFrame) -> DataFrame:
-    """The full report as it is ranked once a year outgrows one task."""
+    """The full report without its provider-years being written first."""
     summary = yearly.with_neighbour_years(yearly.yearly_summary(yearly.cost_reports(stg)))
-    ranked = ranking.rank_incomes(summary, one_task_rows=0)
+    ranked = ranking.rank_incomes_by_value(summary)
     return ranked.select(*yearly.FLAGSHIP_COLUMNS)
 
 
@@ -84,14 +84,14 @@ def _cast_date_year(stg: DataFrame) -> DataFrame:
 
 # Loads and read-backs
 
-def _nine_columns(df: DataFrame) -> DataFrame:
-    return df.select(*bindings.STAGED_COLUMNS)
+def _all_columns(df: DataFrame) -> DataFrame:
+    return df.select(*bindings.STAGED_COLUMNS, *bindings.DAY_COUNTS)
 
 
 def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "csv")
     staging.write_csv(bindings.staging_order(bindings.staging(spark, sf_dir)), path)
-    return _nine_columns(staging.read_csv(spark, path))
+    return _all_columns(staging.read_csv(spark, path))
 
 
 def _load(modes: list[str]) -> Query:
@@ -102,14 +102,14 @@ def _load(modes: list[str]) -> Query:
         reports = bindings.staging_order(bindings.staging(spark, sf_dir))
         for mode in modes:
             staging.write_staging(reports, path, mode)
-        return _nine_columns(staging.read_staging(spark, path))
+        return _all_columns(staging.read_staging(spark, path))
 
     return run
 
 
 def _csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = bindings.external_files(spark, sf_dir)
-    return _nine_columns(staging.load_staging(spark, files, fresh_path(spark, "csv-load")))
+    return _all_columns(staging.load_staging(spark, files, fresh_path(spark, "csv-load")))
 
 
 def _table_recreate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,12 +123,12 @@ def _table_recreate(spark: SparkSession, sf_dir: str) -> DataFrame:
             fresh_path(spark, "recreated"),
             ["report_period"],
         )
-    return _nine_columns(table)
+    return _all_columns(table)
 
 
 def _external_names(df: DataFrame) -> DataFrame:
     names = {"beds_number": "beds", "report_period": "reporting_period_end"}
-    return df.select(*[names.get(c, c) for c in bindings.STAGED_COLUMNS])
+    return df.select(*[names.get(c, c) for c in (*bindings.STAGED_COLUMNS, *bindings.DAY_COUNTS)])
 
 
 def _external_renamed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +161,23 @@ def _partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _storage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landing.storage_metrics(spark, bindings.staging_path(spark, sf_dir))
+    """Files of the staging table by report period, next to the rows they hold."""
+    files = landing.storage_metrics(spark, bindings.staging_path(spark, sf_dir))
+    period = F.to_date(F.regexp_extract("file_path", r"report_period=([0-9-]+)", 1))
+    sizes = files.groupBy(period.alias("report_period")).agg(
+        F.bool_and(F.col("size_bytes") > 0).alias("all_sized"),
+        (F.count("*") == F.count_distinct("file_path")).alias("paths_distinct"),
+    )
+    rows = bindings.staging(spark, sf_dir).groupBy("report_period").agg(F.count("*").alias("rows"))
+    return sizes.join(rows, "report_period", "full").select("report_period", "rows", "all_sized", "paths_distinct")
+
+
+def _yearly_summary_sample(stg: DataFrame) -> DataFrame:
+    """How many rows an unordered sample has, and how many of them are rows of the summary."""
+    summary = yearly.yearly_summary(yearly.cost_reports(stg))
+    sample = summary.limit(10).withColumn("sampled", F.lit(1))
+    found = sample.join(summary.select(*summary.columns), summary.columns, "left_semi")
+    return sample.agg(F.count("*").alias("rows")).select("rows", found.agg(F.count("*")).scalar().alias("rows_in_summary"))
 
 
 def _scan_reduction(stg: DataFrame) -> DataFrame:
@@ -187,10 +203,13 @@ def _required_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = staging.read_csv(spark, bindings.external_files(spark, sf_dir))
-    return quality.load_reconciliation(
-        _nine_columns(files), _nine_columns(bindings.staging(spark, sf_dir))
-    )
+    """The files against a damaged load: rows lost, rows doubled and one column changed."""
+    files = _all_columns(staging.read_csv(spark, bindings.external_files(spark, sf_dir)))
+    loaded = _all_columns(bindings.staging(spark, sf_dir))
+    kept = loaded.filter(F.col("provider_id") % 7 != 0)
+    changed = F.when(F.col("provider_id") % 11 == 0, F.col("discharges") + 1).otherwise(F.col("discharges"))
+    damaged = kept.unionByName(kept.filter(F.col("provider_id") % 5 == 0)).withColumn("discharges", changed)
+    return quality.load_reconciliation(files, damaged)
 
 
 def _synthetic_hospitals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,9 +391,7 @@ QUERIES: dict[str, Query] = {
     "external_q2": _external(lambda ext: yearly.flagship(ext, year=YEAR)),
     "external_q3": _external(lambda ext: yearly.flagship(ext, year=YEAR, id_range=ID_RANGE)),
     "yearly_summary": _stg(lambda stg: yearly.yearly_summary(yearly.cost_reports(stg))),
-    "yearly_summary_sample": _stg(
-        lambda stg: yearly.yearly_summary(yearly.cost_reports(stg)).limit(10)
-    ),
+    "yearly_summary_sample": _stg(_yearly_summary_sample),
     "cast_date_year": _stg(_cast_date_year),
     "analytics_table": _analytics_table,
     "analytics_top10": _analytics_top10,
@@ -383,7 +400,7 @@ QUERIES: dict[str, Query] = {
     "rank_distribution": _analytics(yearly.rank_distribution),
     "income_quartiles": _analytics(ranking.income_quartiles),
     "income_quartiles_by_value": _analytics(
-        lambda ranked: ranking.income_quartiles(ranked, one_task_rows=0)
+        lambda ranked: ranking.income_quartiles(ranked)
     ),
     # staging profile and staging queries
     "total_records": _stg(profile.row_count),
@@ -401,7 +418,7 @@ QUERIES: dict[str, Query] = {
     "size_category_filtered": _stg(profile.size_categories_filtered),
     "profit_margin": _stg(lambda stg: profile.profit_margin(stg, min_expenses=MIN_EXPENSES)),
     # sources, sinks and metadata
-    "stg_binding": lambda spark, sf_dir: _nine_columns(bindings.cost_reports(spark, sf_dir)),
+    "stg_binding": lambda spark, sf_dir: _all_columns(bindings.cost_reports(spark, sf_dir)),
     "csv_roundtrip": _csv_roundtrip,
     "csv_load": _csv_load,
     "staging_roundtrip": _load(["overwrite"]),

@@ -6,7 +6,10 @@ from wardledger.functions.dates import BATCH_STAMP
 from wardledger.functions.sizes import MIB, in_unit
 from wardledger.schema import NATIVE_SCHEMA
 
-BATCH_PATTERN = r"hospital_cost_sample_\d+rows_(\d{8}_\d{6})"
+# Any name that begins like this, up to its extension; the last stamp in it counts, as a
+# batch that is uploaded again gets a second one.
+BATCH_PATTERN = r"hospital_cost_sample[^/]*?(?=\.csv|/|$)"
+LAST_STAMP = r".*(\d{8}_\d{6})"
 
 
 def land(df: DataFrame, path: str) -> None:
@@ -36,15 +39,15 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 def newest_batch(files: DataFrame) -> DataFrame:
     """Name and load time of the newest batch, as one row.
 
-    The time inside the name decides; the name itself sorts by row count first.
+    The last time inside the name decides, and of equal times the larger name. A
+    name without a time comes before all others.
     """
-    named = files.select(
-        F.regexp_extract("path", BATCH_PATTERN, 0).alias("batch_name"),
-        F.regexp_extract("path", BATCH_PATTERN, 1).alias("stamp"),
-    ).filter(F.col("stamp") != "")
-    return (
-        named.select("batch_name", F.to_timestamp_ntz("stamp", F.lit(BATCH_STAMP)).alias("ts"))
-        .agg(F.max_by("batch_name", "ts").alias("batch_name"), F.max("ts").alias("batch_ts"))
+    name = F.regexp_extract("path", BATCH_PATTERN, 0)
+    named = files.select(name.alias("batch_name")).filter(F.col("batch_name") != "")
+    stamp = F.nullif(F.regexp_extract("batch_name", LAST_STAMP, 1), F.lit(""))
+    newest = F.max(F.struct(F.try_to_timestamp(stamp, F.lit(BATCH_STAMP)).cast("timestamp_ntz").alias("ts"), "batch_name"))
+    return named.agg(newest.alias("newest")).select(
+        F.col("newest.batch_name").alias("batch_name"), F.col("newest.ts").alias("batch_ts")
     )
 
 
