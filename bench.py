@@ -9,6 +9,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -29,6 +30,7 @@ HEADLINES = [
     "flagship_q2",
     "flagship_q3",
     "flagship_full",
+    "flagship_full_by_value",
     "sql_entry_q1",
     "external_q1",
     "external_q2",
@@ -81,6 +83,7 @@ def main() -> None:
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -188,3 +188,19 @@ def test_newest_batch_of_any_name(spark):
     assert newest("hospital_cost_sample.csv", "hospital_cost_sample_x_20200101_000000.csv") == "hospital_cost_sample_x_20200101_000000"
     assert newest("batch_name=hospital_cost_sample_a_20250101_000000/p.csv", "batch_name=hospital_cost_sample_b_20250101_000000/p.csv") == "hospital_cost_sample_b_20250101_000000"
     assert newest("hospital_cost_sample.csv") == "hospital_cost_sample"
+
+
+def test_files_of_a_split_date_hold_ranges_of_providers(spark, reports, tmp_path):
+    df = reports([(i, 2020, 60, 1.0, 1.0) for i in range(400)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        staging.write_staging(df, str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(str(tmp_path / "t")).groupBy("_metadata.file_path").agg({"provider_id": "min"}).count()
+    ranges = sorted(
+        (r.low, r.high)
+        for r in spark.read.parquet(str(tmp_path / "t")).groupBy("_metadata.file_path")
+        .agg(F.min("provider_id").alias("low"), F.max("provider_id").alias("high")).collect()
+    )
+    assert files > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))

@@ -32,13 +32,13 @@ def session(app_name: str = "wardledger", **conf: str) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it gets one fresh
-    temporary folder.
+    Only a session that is known to be local may go without the setting; it gets
+    one fresh temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.conf.get("spark.app.id")
     if app not in _local_roots:

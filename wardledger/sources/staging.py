@@ -43,12 +43,15 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def clustered(df: DataFrame) -> DataFrame:
-    """Lay rows out for a table partitioned by date and sorted by provider.
+    """Lay rows out for a table partitioned by date and clustered by provider.
 
-    Rebalancing brings the rows of a date together for few files, yet lets
-    adaptive execution split a date of any size over many tasks.
+    Tasks take ranges of (date, provider): the files of a date that is split over
+    tasks hold ids that do not overlap, so a range of ids opens few of them. A hash
+    of the row ends the key and splits a provider of any size. Adaptive execution
+    joins small ranges that are neighbours.
     """
-    return df.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(
+    row = F.xxhash64(*[F.col(name) for name in df.columns])
+    return df.repartitionByRange(PARTITION_COLUMN, CLUSTER_COLUMN, row).sortWithinPartitions(
         PARTITION_COLUMN, CLUSTER_COLUMN
     )
 
