@@ -26,7 +26,7 @@ from wardledger.llm.shared import as_bytes, fresh_path, table, write_table
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Distinct pieces that a Python worker remembers before it starts afresh.
-REMEMBER = 600_000
+REMEMBER = 1_000_000
 #: Where the two kinds of tokenizer always cut. "words": at ASCII white space, which the
 #: pre-tokenizer drops. "spaces": before a single space, which begins the next token; a
 #: space next to other white space may join it, so such texts go to the library whole, as
@@ -37,6 +37,9 @@ _JOINED = re.compile(r"\s (?:\s|$)")
 #: Punctuation that never joins a letter or digit before it in one token; the apostrophe may.
 PUNCTUATION = b".,!?#$%&*:;|"
 
+#: How a byte-level vocabulary writes a space.
+SPACE_TOKEN = "\u0120"
+
 _encoders: dict[tuple, "Encoder"] = {}
 
 
@@ -50,6 +53,12 @@ class Encoder:
         self.split = SPLIT.get(path.rpartition("/")[2])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, object] = {}
+        # Ids of tokens that begin with a space: in a row of words, each starts one.
+        self.opens = None
+        if self.split == "spaces" and not counts:
+            vocabulary = self.tokenizer.get_vocab()
+            self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE_TOKEN)]] = True
         self.value = (lambda e: len(e)) if counts else (lambda e: np.array(e.ids, "<u4").tobytes())
 
     @classmethod
@@ -62,6 +71,22 @@ class Encoder:
     def whole(self, texts: list[str]) -> list:
         return [self.value(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def each(self, pieces: list[bytes]) -> list[tuple[bytes, object]]:
+        """Values of single pieces. Words without white space are encoded in one row."""
+        row, texts = [], {p: self.text_of(p) for p in pieces}
+        if self.opens is not None:
+            row = [p for p, t in texts.items() if p[:1] != b"\0" and len(t.split()) == 1 and t[1:] == t.strip()]
+        done = []
+        if row:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts[p] for p in row)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(row):
+                data, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+                done = [(p, data[i:j]) for p, i, j in zip(row, (4 * at).tolist(), ends)]
+        found = {p for p, _ in done}
+        rest = [p for p in pieces if p not in found]
+        return done + list(zip(rest, self.whole([texts[p] for p in rest])))
+
     def pieces(self, data: bytes) -> list[bytes] | None:
         """Pieces whose ids, one after the other, are those of the text; None: encode it whole."""
         if self.split == "words":  # this kind folds case itself, but finds special tokens before
@@ -100,8 +125,7 @@ class Encoder:
         ends = {p: c for p in new if (c := self.core(p))}
         alone = [p for p in {*(new - ends.keys()), *(c for c, _ in ends.values()), *(e for _, e in ends.values())} if p not in known]
         for i in range(0, len(alone), 4096):
-            some = alone[i : i + 4096]
-            known.update(zip(some, self.whole([self.text_of(p) for p in some])))
+            known.update(self.each(alone[i : i + 4096]))
         known.update((p, known[c] + known[e]) for p, (c, e) in ends.items())
         rest = [i for i, parts in enumerate(cut) if parts is None]
         whole = dict(zip(rest, self.whole([texts[i].decode() for i in rest])))
