@@ -508,7 +508,11 @@ def oracle() -> dict[str, str]:
             "AND net_income IS NOT NULL ORDER BY profit_margin_pct DESC, total_expenses DESC, "
             "provider_id, report_year, net_income LIMIT 50"
         ),
-        "stg_binding": _stg(f"SELECT {NINE} FROM stg"),
+        "stg_binding": _stg(
+            f"SELECT {NINE}, beds_number * 275 AS patient_days, beds_number * 30 AS discharges, "
+            "beds_number * 5 AS fte_employees, beds_number * 140 AS medicare_days, "
+            "beds_number * 75 AS medicaid_days FROM stg"
+        ),
         "csv_roundtrip": loaded,
         "csv_load": loaded,
         "staging_roundtrip": loaded,
