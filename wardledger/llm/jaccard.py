@@ -22,9 +22,10 @@ at all, and cuts them into start regions:
 4. Open regions of at most ``SMALL`` members are joined exactly inside a task. Larger ones
    take ``PIVOTS`` pivots and split into their Voronoi regions: a member goes to its nearest
    pivot, and also to every pivot that is at most twice the radius farther away, which by the
-   triangle inequality brings each pair of partners together. A region whose windows would
-   replicate most members stays whole, without its pivots. All go back to the start of
-   step 4, until no region is open; every level takes pivots out of every region.
+   triangle inequality brings each pair of partners together. The regions go back to the start
+   of step 4, until none is open; every level takes its pivots out. A region whose windows
+   would put its members in more than two regions on average gains nothing by splitting: it
+   is dealt into blocks of about ``SMALL`` members, and each task joins two blocks exactly.
 
 The links are reduced to components with the smallest doc_id as their name.
 
@@ -47,7 +48,8 @@ from wardledger.llm.shared import drop_tables, mix, pack, shuffle_partitions, ta
 SHINGLE = 5
 PERCENT = 80
 RADIUS = 1 - PERCENT / 100
-SMALL = 256
+SMALL = 512
+PART = 4096
 PIVOTS = 128
 BINS = 256
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -203,29 +205,29 @@ def sketch(members: np.ndarray) -> bytes:
     return np.bincount((members >> np.uint64(40)) % np.uint64(BINS), minlength=BINS).astype("<u4").tobytes()
 
 
+def _overlaps(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Overlap that the sketches allow at most, of one set with each of many."""
+    return np.minimum(one, many).sum(axis=1, dtype=np.int64)
+
+
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, BINS)
+
+
 def _compare(batches):
-    """Overlap that the sketches allow of each pair, and their distance."""
+    """Rows (x, n, sketch, p, m, p_sketch) -> the pairs that their sketches allow to be linked."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, BINS) for i in (2, 3))
-        most = np.minimum(a, b).sum(axis=1).astype(np.int64)
-        either = a.sum(axis=1).astype(np.int64) + b.sum(axis=1).astype(np.int64) - most
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(most), pa.array(1 - most / np.maximum(either, 1))],
-            ["x", "p", "most", "gap"],
-        )
+        most = np.minimum(_matrix(batch.column(2)), _matrix(batch.column(5))).sum(axis=1, dtype=np.int64)
+        n, m = batch.column(1).to_numpy(), batch.column(4).to_numpy()
+        near = pa.array(100 * most >= PERCENT * (n + m - most))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(3).filter(near)], ["x", "p"])
 
 
-def _sketch_gaps(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(x, p, gap, near) of distinct pairs: distance of the sketches; near: a link is possible."""
-    own = classes.select("x", "n", F.col("sketch").alias("a"))
-    other = own.select(F.col("x").alias("p"), F.col("n").alias("m"), F.col("a").alias("b"))
-    sized = pairs.join(own, "x").join(other, "p")
-    gaps = sized.select("x", "p", "a", "b").mapInArrow(_compare, "x long, p long, most long, gap double")
-    sizes = classes.select("x", "n")
-    return (
-        gaps.join(sizes, "x").join(sizes.select(F.col("x").alias("p"), F.col("n").alias("m")), "p")
-        .select("x", "p", "gap", F.expr(f"100 * most >= {PERCENT} * (n + m - most)").alias("near"))
-    )
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    own = classes.select("x", "n", "sketch")
+    other = own.select(F.col("x").alias("p"), F.col("n").alias("m"), F.col("sketch").alias("p_sketch"))
+    rows = pairs.join(own, "x").join(other, "p").select("x", "n", "sketch", "p", "m", "p_sketch")
+    return rows.mapInArrow(_compare, "x long, p long")
 
 
 def _verify(batches):
@@ -251,13 +253,73 @@ def _linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _inside(group: pa.Table) -> pa.Table:
-    """Pairs between different groups of one small region: all that are left to look at."""
-    rows = sorted(group.to_pylist(), key=lambda r: r["x"])
-    pairs = [
-        (r["x"], s["x"]) for i, r in enumerate(rows) for s in rows[:i]
-        if r["g"] != s["g"] and 100 * min(r["n"], s["n"]) >= PERCENT * max(r["n"], s["n"])
-    ]
-    return pa.table({"x": pa.array([x for x, _ in pairs], pa.int64()), "p": pa.array([p for _, p in pairs], pa.int64())})
+    """Pairs (x, p) of a block pair (i, j) whose sketches allow a link that is not known yet."""
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    x, n, g, slot = (group.column(c).to_numpy() for c in ("x", "n", "g", "slot"))
+    sketches = _matrix(group.column("sketch"))
+    second = np.flatnonzero(slot == j)
+    found = []
+    for a in np.flatnonzero(slot == i):
+        other = second[(g[second] != g[a]) & (100 * np.minimum(n[second], n[a]) >= PERCENT * np.maximum(n[second], n[a]))]
+        if i == j:
+            other = other[x[other] < x[a]]
+        most = _overlaps(sketches[a], sketches[other])
+        found += [(x[a], x[b]) for b in other[100 * most >= PERCENT * (n[a] + n[other] - most)]]
+    return pa.table({"x": pa.array([a for a, _ in found], pa.int64()), "p": pa.array([b for _, b in found], pa.int64())})
+
+
+def _block_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs to verify within each region of ``members`` (region, x, g, size).
+
+    A region is dealt into blocks of about ``SMALL`` members, and a task compares two of them.
+    Only pairs that may be links between different groups leave the task.
+    """
+    blocks = F.ceil(F.col("size") / SMALL)
+    dealt = members.withColumn("slot", F.expr("pmod(xxhash64(x), ceil(size / %d))" % SMALL))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("region", "x", "g", "slot", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
+    return (
+        dealt.join(classes.select("x", "n", "sketch"), "x").groupBy("region", "i", "j")
+        .applyInArrow(_inside, "x long, p long")
+    )
+
+
+WINDOWS = "region long, x long, weight double, g long, size long, cells array<long>, near array<long>"
+
+
+def _windows(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Of each member of a region: the cells of pivots that it falls in, and pivots that it may be linked to."""
+    pivots, sketches = right.column("p").to_numpy(), _matrix(right.column("p_sketch"))
+    m, groups, totals = right.column("m").to_numpy(), right.column("p_g").to_numpy(), sketches.sum(axis=1, dtype=np.int64)
+    own = _matrix(left.column("sketch"))
+    cells, near = [], []
+    for x, n, g, mine in zip(*(left.column(c).to_pylist() for c in ("x", "n", "g")), own):
+        most = _overlaps(mine, sketches)
+        gap = 1 - most / np.maximum(int(mine.sum(dtype=np.int64)) + totals - most, 1)
+        # A small allowance keeps rounding from losing a boundary member.
+        inside = gap <= gap.min() + 2 * RADIUS + 1e-9
+        cells.append([] if x in pivots else pivots[inside].tolist())
+        near.append(pivots[(100 * most >= PERCENT * (n + m - most)) & (groups != g)].tolist())
+    lists = {"cells": pa.array(cells, pa.list_(pa.int64())), "near": pa.array(near, pa.list_(pa.int64()))}
+    return pa.table({c: left.column(c) for c in ("region", "x", "weight", "g", "size")} | lists)
+
+
+def _voronoi(large: DataFrame, classes: DataFrame, level: int) -> DataFrame:
+    """``WINDOWS`` of the members of large regions; a pivot itself falls in no cell.
+
+    Parts of about ``PART`` members of a region meet its pivots, whatever its size.
+    """
+    # Pivots of different groups, as members of one group are no news to each other.
+    slot = F.pmod(F.xxhash64("g", F.lit(level)), F.lit(PIVOTS))
+    known = classes.select("x", "n", "sketch")
+    pivots = (
+        large.groupBy("region", "size", slot.alias("slot")).agg(F.max(F.struct("weight", (-F.col("x")).alias("x"), "g")).alias("top"))
+        .select("region", "size", (-F.col("top.x")).alias("x"), F.col("top.g").alias("p_g")).join(known, "x")
+        .select(F.col("region").alias("of"), F.col("x").alias("p"), "p_g", F.col("n").alias("m"), F.col("sketch").alias("p_sketch"),
+                F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / PART) - 1)).alias("of_part"))
+    )
+    parts = large.join(known, "x").withColumn("part", F.expr(f"pmod(xxhash64(x), ceil(size / {PART}))"))
+    return parts.groupBy("region", "part").cogroup(pivots.groupBy("of", "of_part")).applyInArrow(_windows, WINDOWS)
 
 
 #: The pivot of a region: the member whose shingles are the most common ones. Of copies with
@@ -290,47 +352,41 @@ def _open(members: DataFrame, links: DataFrame) -> DataFrame:
 def region_links(classes: DataFrame) -> DataFrame:
     """Steps 3 and 4: links (a, b) that connect what similarity connects.
 
-    ``classes``: (x, n, weight, prefix, members), one row per distinct set.
+    ``classes``: (x, n, weight, prefix, sketch, members), one row per distinct set.
     """
-    sizes = classes.select("x", "n")
+    spark = classes.sparkSession
     postings = classes.select("x", "weight", F.explode("prefix").alias("region"))
-    members, _ = write_table(
-        postings.join(_one_of_equal(postings), "region").select("region", "x", "weight", "p"), "regions"
+    started, started_path = write_table(
+        postings.join(_one_of_equal(postings), "region").where("x <> p").select("x", "weight", "p").distinct(), "regions"
     )
-    met = members.where("x <> p").select("x", "p").distinct()
-    links, _ = write_table(_linked(_sketch_gaps(met, classes).where("near"), classes), "jaccard-links")
+    links, links_path = write_table(_linked(_near(started.select("x", "p"), classes), classes), "jaccard-links")
     # From here on, the region of a pivot is all that shares a start region with it.
-    left = members.where("x <> p").select(F.col("p").alias("region"), "x", "weight").distinct()
+    left, left_path = started.select(F.col("p").alias("region"), "x", "weight"), started_path
     level = 0
     while True:
-        members, _ = write_table(_open(left, links), "open-regions")
-        small = members.where(F.col("size") <= SMALL).join(sizes, "x")
-        pairs, _ = write_table(small.groupBy("region").applyInArrow(_inside, "x long, p long").distinct(), "pairs")
-        found = _linked(_sketch_gaps(pairs, classes).where("near"), classes)
+        members, members_path = write_table(_open(left, links), "open-regions")
+        drop_tables(spark, left_path)
+        pairs = _block_pairs(members.where(F.col("size") <= SMALL), classes)
         large = members.where(F.col("size") > SMALL)
-        if large.isEmpty():
-            return write_table(links.unionByName(found), "jaccard-links")[0]
-        level += 1
-        # Pivots of different groups, as members of one group are no news to each other.
-        slot = F.pmod(F.xxhash64("g", F.lit(level)), F.lit(PIVOTS))
-        pivots, _ = write_table(large.groupBy("region", slot.alias("slot")).agg(F.expr(CENTRE).alias("p")), "pivots")
-        met = large.join(pivots.select("region", "p"), "region").where("x <> p")
-        gaps, _ = write_table(_sketch_gaps(met.select("x", "p").distinct(), classes), "gaps")
-        links, _ = write_table(
-            links.unionByName(found).unionByName(_linked(gaps.where("near"), classes)), "jaccard-links"
-        )
-        is_pivot = pivots.select("region", F.col("p").alias("x"))
-        seen = met.join(is_pivot, ["region", "x"], "left_anti").join(gaps, ["x", "p"]).select("region", "x", "weight", "p", "size", "gap")
-        home = seen.groupBy("region", "x").agg(F.min("gap").alias("home"))
-        # A small allowance keeps rounding from losing a boundary member.
-        kept = seen.join(home, ["region", "x"]).where(F.col("gap") <= F.col("home") + 2 * RADIUS + 1e-9)
-        kept, _ = write_table(kept.select("region", "x", "weight", "p", "size"), "voronoi")
-        # Regions whose windows replicate most members anyway stay whole, without their pivots.
-        whole = kept.groupBy("region", "size").count().where("count > 2 * size").select("region")
-        left = (
-            kept.join(whole, "region", "left_anti").select(F.xxhash64("region", "p").alias("region"), "x", "weight")
-            .unionByName(kept.join(whole, "region", "left_semi").select("region", "x", "weight").distinct())
-        )
+        done = large.isEmpty()
+        if not done:
+            level += 1
+            windows, left_path = write_table(_voronoi(large, classes, level), "voronoi")
+            # Regions whose windows replicate most members anyway are joined as they are.
+            dense = windows.groupBy("region").agg(
+                F.sum(F.size("cells")).alias("in_cells"), F.first("size").alias("members")
+            ).where("in_cells > 2 * members").select("region")
+            whole = windows.where(F.size("cells") > 0).join(dense, "region", "left_semi")
+            pairs = pairs.unionByName(_block_pairs(whole, classes)).unionByName(windows.select("x", F.explode("near").alias("p")))
+            split = windows.join(dense, "region", "left_anti").select("region", "x", "weight", F.explode("cells").alias("p"))
+            left = split.select(F.xxhash64("region", "p").alias("region"), "x", "weight")
+            done = left.isEmpty()
+        once = pairs.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
+        more, more_path = write_table(links.unionByName(_linked(once, classes)), "jaccard-links")
+        drop_tables(spark, links_path, members_path)
+        links, links_path = more, more_path
+        if done:
+            return links
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
