@@ -115,6 +115,27 @@ def test_jaccard_large_region_goes_through_pivots(documents, monkeypatch):
     assert got == brute.jaccard_components(family)
 
 
+def test_jaccard_dense_region_is_joined_in_blocks(documents, monkeypatch):
+    """Variants near a common text, most of them without a link to it, and a close copy of each."""
+    for name, value in (("SMALL", 5), ("PIVOTS", 3), ("PART", 7)):
+        monkeypatch.setattr(jaccard, name, value)
+    calls = []
+    block_pairs = jaccard._block_pairs
+    monkeypatch.setattr(jaccard, "_block_pairs", lambda *a: calls.append(1) or block_pairs(*a))
+    rng = random.Random(8)
+    base = prose(rng, 100).split(" ")
+    family = []
+    for i in range(20):
+        own = list(base)
+        for _ in range(i % 4):
+            own[rng.randrange(10, 100)] = rng.choice(WORDS)
+        family += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[:-1], f"end{i}"]))]
+    got = collected(jaccard.similarity_components(documents(family)), "doc_id", "n_shingles", "component_id")
+    assert got == brute.jaccard_components(family)
+    assert len({c for _, _, c in got}) > 1
+    assert len(calls) > 1
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
     got = {r["vertex"]: r["component"] for r in components.components(edges).collect()}
