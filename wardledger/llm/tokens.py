@@ -33,6 +33,8 @@ REMEMBER = 1_000_000
 #: do those that hold a special token.
 SPLIT = {"word_bpe_49k.json": "words", "byte_bpe_50k.json": "spaces"}
 _JOINED = re.compile(r"\s (?:\s|$)")
+#: A later piece that is one word after its space.
+_WORD = re.compile(r" [^\s\0]\S*")
 
 #: Punctuation that never joins a letter or digit before it in one token; the apostrophe may.
 PUNCTUATION = b".,!?#$%&*:;|"
@@ -75,7 +77,7 @@ class Encoder:
         """Values of single pieces. Words without white space are encoded in one row."""
         row, texts = [], {p: self.text_of(p) for p in pieces}
         if self.opens is not None:
-            row = [p for p, t in texts.items() if p[:1] != b"\0" and len(t.split()) == 1 and t[1:] == t.strip()]
+            row = [p for p, t in texts.items() if _WORD.fullmatch(t)]
         done = []
         if row:
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts[p] for p in row)], add_special_tokens=False)[0].ids, "<u4")
@@ -121,7 +123,15 @@ class Encoder:
             self.known.clear()
         cut = [None if b"\0" in t else self.pieces(t) for t in texts]
         known = self.known
-        new = {p for parts in cut if parts for p in parts if p not in known}
+        got, gaps, new = [], [], set()
+        for parts in cut:
+            # One look-up a piece; only what was missing is looked up again.
+            values = None if parts is None else list(map(known.get, parts))
+            gap = bool(parts) and None in values
+            if gap:
+                new.update([p for p, v in zip(parts, values) if v is None])
+            got.append(values)
+            gaps.append(gap)
         ends = {p: c for p in new if (c := self.core(p))}
         alone = [p for p in {*(new - ends.keys()), *(c for c, _ in ends.values()), *(e for _, e in ends.values())} if p not in known]
         for i in range(0, len(alone), 4096):
@@ -129,7 +139,12 @@ class Encoder:
         known.update((p, known[c] + known[e]) for p, (c, e) in ends.items())
         rest = [i for i, parts in enumerate(cut) if parts is None]
         whole = dict(zip(rest, self.whole([texts[i].decode() for i in rest])))
-        return [[whole[i]] if parts is None else list(map(known.__getitem__, parts)) for i, parts in enumerate(cut)]
+        for i, (parts, gap) in enumerate(zip(cut, gaps)):
+            if parts is None:
+                got[i] = [whole[i]]
+            elif gap:
+                got[i] = [known[p] if v is None else v for p, v in zip(parts, got[i])]
+        return got
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
