@@ -68,3 +68,14 @@ def line_report(docs, least=1, limit=10):
         kept = [x for x in own if len(key(x).decode()) < least or often[key(x)] < limit]
         out.append((i, len(own), len(own) - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest()))
     return sorted(out)
+
+
+def jaccard_links(docs):
+    """(doc_id, n_links) of each row: other distinct sets that its own set is linked with."""
+    sets = [(i, frozenset(shingle_set(t))) for i, t in docs]
+    distinct = {s for i, s in sets if i is not None and s}
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    return sorted(
+        (-1 if i is None else i, sum(near(s, o) for o in distinct if o != s) if i is not None and s else 0)
+        for i, s in sets
+    )

@@ -27,11 +27,22 @@ at all, and cuts them into start regions:
    would put its members in more than two regions on average gains nothing by splitting: it
    is dealt into blocks of about ``SMALL`` members, and each task joins two blocks exactly.
 
-The links are reduced to components with the smallest doc_id as their name.
+The links are reduced to components with the smallest doc_id as their name. They connect what
+similarity connects, but are not all links: ``similarity_components`` stops there, for those
+that only need components. ``similarity_links`` adds step 5:
+
+5. A link never leaves its component, so every pair of classes of one component is verified,
+   each once, on the whole sets, and the links of each class are counted. A component of two
+   has its one link. A larger one is dealt into blocks of about ``SMALL`` members or
+   ``BLOCK_SHINGLES`` shingles, and a task joins two of them; only counts leave it. That work
+   grows with the square of a component's size.
+
+``n_links`` is the number of other distinct sets that are linked with a document's own set, so
+copies of one set have the same number and do not count each other.
 
 Defined results: NULL and blank texts have no shingle and are linked with nothing; texts of
 one to four words have one shingle, the whole sequence; rows with a NULL doc_id are linked
-with nothing and have a NULL component; rows that share a doc_id share a component; an
+with nothing, have no links and a NULL component; rows that share a doc_id share a component; an
 empty table gives an empty result. Shingles are compared by 64-bit hashes.
 """
 
@@ -52,6 +63,7 @@ SMALL = 512
 PART = 4096
 PIVOTS = 128
 BINS = 256
+BLOCK_SHINGLES = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -389,8 +401,102 @@ def region_links(classes: DataFrame) -> DataFrame:
             return links
 
 
-def similarity_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row, and the distinct texts' link count."""
+def _expanded(rows: np.ndarray, many: np.ndarray, starts: np.ndarray, others: np.ndarray, width: int, most: int):
+    """Cells (row, other) of every entry with each of its ``many`` others, in portions of about ``most``."""
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        times = many[at:to]
+        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        yield np.repeat(rows[at:to] * width, times) + others[np.repeat(starts[at:to], times) + inside]
+        at = to
+
+
+def overlaps(a: list[bytes], b: list[bytes], columns: int = 2048, most: int = 1 << 21) -> np.ndarray:
+    """Size of the overlap of each set of ``a`` with each of ``b``.
+
+    Shingles that many sets of both have are multiplied as matrices, the others pair by pair.
+    """
+    sets = [np.frombuffer(x, np.uint64) for x in (*a, *b)]
+    both = np.zeros(len(a) * len(b), np.int64)
+    found, key = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    left = owner < len(a)
+    in_a, in_b = np.bincount(key[left], minlength=len(found)), np.bincount(key[~left], minlength=len(found))
+    common = np.flatnonzero(64 * in_a * in_b > len(both))
+    of_common = np.full(len(found), -1)
+    of_common[common] = np.arange(len(common))
+    for low in range(0, len(common), columns):
+        at = of_common[key] - low
+        inside = (at >= 0) & (at < columns)
+        dense = np.zeros((len(sets), min(columns, len(common) - low)), np.float32)
+        dense[owner[inside], at[inside]] = 1
+        both += (dense[: len(a)] @ dense[len(a) :].T).astype(np.int64).ravel()
+    order = np.argsort(key[~left], kind="stable")
+    others, starts = owner[~left][order] - len(a), np.cumsum(in_b) - in_b
+    rare = left & (of_common[key] < 0) & (in_b[key] > 0)
+    for cells in _expanded(owner[rare], in_b[key[rare]], starts[key[rare]], others, len(b), most):
+        both += np.bincount(cells, minlength=len(both))
+    return both.reshape(len(a), len(b))
+
+
+def _links_between(x, n, members, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Which of the sets at ``first`` are linked with which at ``second``; no set with itself."""
+    both = overlaps([members[k] for k in first], [members[k] for k in second])
+    either = n[first][:, None] + n[second] - both
+    return (100 * both >= PERCENT * either) & (x[first][:, None] != x[second])
+
+
+def _count_links(group: pa.Table) -> pa.Table:
+    """(x, n_links) within a block pair (i, j) of a component, or within each whole component of a task."""
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    x, n, component, slot = (group.column(c).to_numpy() for c in ("x", "n", "component", "slot"))
+    members = group.column("members").to_pylist()
+    links = np.zeros(len(x), np.int64)
+    if i == j:
+        order = np.argsort(component, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
+            links[own] = _links_between(x, n, members, own, own).sum(axis=1)
+    else:
+        first, second = np.flatnonzero(slot == i), np.flatnonzero(slot == j)
+        if len(first) and len(second):
+            linked = _links_between(x, n, members, first, second)
+            links[first], links[second] = linked.sum(axis=1), linked.sum(axis=0)
+    return pa.table({"x": x, "n_links": links})
+
+
+def link_counts(classes: DataFrame, named: DataFrame) -> DataFrame:
+    """Step 5: (x, n_links) of the classes that have a link; ``named``: their (vertex, component)."""
+    spark = classes.sparkSession
+    within = named.select(F.col("vertex").alias("x"), "component").join(classes.select("x", "n"), "x")
+    blocks = F.greatest(F.ceil(F.col("size") / SMALL), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")
+    sizes = within.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    sized, _ = write_table(
+        within.join(sizes.select("component", "size", blocks), "component").select("x", "n", "component", "size", "blocks"),
+        "sized-components",
+    )
+    several = sized.where("size > 2")
+    whole = several.where("blocks = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(shuffle_partitions(spark), -(-whole // BLOCK_SHINGLES))
+    # Components of one block share tasks, as most have only a few members.
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.col("component"))
+    dealt = (
+        several.withColumn("task", task).withColumn("slot", F.expr("pmod(xxhash64(x), blocks)"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("long") - 1)))
+        .select("task", (F.col("blocks") == 1).alias("shared"), "component", "x", "slot",
+                F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
+    )
+    counted = (
+        dealt.join(classes.select("x", "n", "members"), "x").groupBy("task", "shared", "i", "j")
+        .applyInArrow(_count_links, "x long, n_links long")
+    )
+    two = sized.where("size = 2").select("x", F.lit(1).cast("long").alias("n_links"))
+    return two.unionByName(counted.groupBy("x").agg(F.sum("n_links").alias("n_links")))
+
+
+def _joined(docs: DataFrame, counted: bool) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row, and n_links if ``counted``."""
     sets, _ = shingle_sets(docs)
     possible = sets.where("digest IS NOT NULL")
     class_of = possible.groupBy("digest").agg(F.min("doc_id").alias("x"))
@@ -400,17 +506,26 @@ def similarity_components(docs: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "weight", "prefix", "sketch", "members"),
         "classes",
     )
-    links = region_links(classes)
-    named = components(links)
-    component_of, _ = write_table(
-        class_of.join(named, class_of.x == named.vertex, "left")
-        .select("digest", F.coalesce("component", "x").alias("component_id")),
-        "class-components",
-    )
+    named = components(region_links(classes))
+    found = class_of.join(named, class_of.x == named.vertex, "left").select("digest", "x", F.coalesce("component", "x").alias("component_id"))
     alone = sets.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return alone.unionByName(
-        possible.select("doc_id", "n_shingles", "digest").join(component_of, "digest").select("doc_id", "n_shingles", "component_id")
-    )
+    columns = ["doc_id", "n_shingles", "component_id"]
+    if counted:
+        found = found.join(link_counts(classes, named), "x", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        alone = alone.withColumn("n_links", F.lit(0).cast("long"))
+        columns.append("n_links")
+    of_class, _ = write_table(found.drop("x"), "class-components")
+    return alone.unionByName(possible.select("doc_id", "n_shingles", "digest").join(of_class, "digest").select(*columns))
+
+
+def similarity_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; looks only at the pairs that components need."""
+    return _joined(docs, counted=False)
+
+
+def similarity_links(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every row; no link between different sets is left out."""
+    return _joined(docs, counted=True)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
@@ -420,4 +535,4 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_components(table(spark, sf_dir, "documents"))
+    return similarity_links(table(spark, sf_dir, "documents"))
