@@ -293,10 +293,10 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
   FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scores AS (
   SELECT a.r AS r, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS id, a.label = b.label AS same,
     list_dot_product(a.q, b.q)::BIGINT AS score

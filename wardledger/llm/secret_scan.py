@@ -211,11 +211,11 @@ def _sql() -> str:
         for k in KINDS
     )
     values = " UNION ALL ".join(
-        f"SELECT unnest(list_filter({k}_v, v -> len(v) >= {KINDS[k][1]})) AS value FROM found" for k in BASE
+        f"SELECT unnest(list_filter({k}_v, lambda v: len(v) >= {KINDS[k][1]})) AS value FROM found" for k in BASE
     )
     ends = ", ".join(
-        f"list_transform(range(1, len({k}_m) + 1), i -> list_sum(list_transform({k}_m[1:i], x -> len(x))) "
-        f"+ list_sum(list_transform({k}_g[1:i], x -> len(x))))::BIGINT[] AS {k}_e"
+        f"list_transform(range(1, len({k}_m) + 1), lambda i: list_sum(list_transform({k}_m[1:i], lambda x: len(x))) "
+        f"+ list_sum(list_transform({k}_g[1:i], lambda x: len(x))))::BIGINT[] AS {k}_e"
         for k in KINDS
     )
     spans = " UNION ALL ".join(
@@ -223,7 +223,7 @@ def _sql() -> str:
         for i, k in enumerate(KINDS)
     )
     long_enough = " OR ".join(f"(kind = '{k}' AND len(v) >= {KINDS[k][1]})" for k in BASE)
-    pairs = "unnest(list_transform(range(1, len(run)), i -> ascii(run[i]) * 128 + ascii(run[i + 1])))"
+    pairs = "unnest(list_transform(range(1, len(run)), lambda i: ascii(run[i]) * 128 + ascii(run[i + 1])))"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {text} AS t FROM documents),
 found AS (SELECT r, {found} FROM docs),
