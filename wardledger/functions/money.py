@@ -1,76 +1,6 @@
-"""Sums, means and ratios over money columns.
+"""Ratios and percentages of amounts; exact sums are in ``sums``."""
 
-Floating sums depend on the order in which tasks finish. Money is therefore
-added up in whole units of 1/10,000 dollar and turned into DOUBLE once, at the
-end: a rerun after a lost executor gives the same bits.
-
-Amounts are rounded to the unit, and may reach 9 * 10**14 dollars per row. The
-units of a row are split at 2**20 into two BIGINT parts that are summed
-apart. Both sums stay far from overflow for 10**12 rows of 10**8 dollars, and
-unlike a DECIMAL sum they cost two integer additions per row.
-"""
-
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-UNITS_PER_DOLLAR = 10_000
-SPLIT_BITS = 20
-
-
-def _is_float(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
-
-
-# Exact sum of column {units} in dollars.
-_DECIMAL_DOLLARS = """
-CAST(CAST(sum(shiftright({units}, {bits})) AS DECIMAL(20,0)) * {split}
-     + CAST(sum({units} & {mask}) AS DECIMAL(20,0)) AS DECIMAL(32,0)) * 0.0001BD"""
-
-# The same as the nearest DOUBLE. Below 2**53 units the sum is exact as DOUBLE
-# and the quotient is rounded once; past that the parts meet as DECIMAL. One
-# expression text instead of forty column calls: these sums are in every query,
-# and building them call by call took longer than running them on small tables.
-_DOUBLE_DOLLARS = f"""
-CASE WHEN abs(sum(shiftright({{units}}, {{bits}}))) < {{small_high}}
-      AND sum({{units}} & {{mask}}) < {{small_low}}
-     THEN CAST(shiftleft(sum(shiftright({{units}}, {{bits}})), {{bits}}) + sum({{units}} & {{mask}}) AS DOUBLE)
-          / {{per_dollar}}D
-     ELSE CAST({_DECIMAL_DOLLARS} AS DOUBLE)
-END"""
-
-
-def _sum_of_units(text: str, name: str) -> str:
-    return text.format(
-        units=f"CAST(rint(`{name}` * {UNITS_PER_DOLLAR}D) AS BIGINT)",
-        bits=SPLIT_BITS,
-        split=2**SPLIT_BITS,
-        mask=f"{2**SPLIT_BITS - 1}L",
-        small_high=f"{2**32}L",
-        small_low=f"{2**51}L",
-        per_dollar=UNITS_PER_DOLLAR,
-    )
-
-
-def total_sql(name: str) -> str:
-    """``total`` of a floating column as SQL text."""
-    return _sum_of_units(_DOUBLE_DOLLARS, name)
-
-
-def exact_total(df: DataFrame, name: str) -> Column:
-    """Sum of a column as DECIMAL dollars, for sums that are summed again."""
-    if _is_float(df, name):
-        return F.expr(_sum_of_units(_DECIMAL_DOLLARS, name))
-    return F.sum(name)
-
-
-def total(df: DataFrame, name: str) -> Column:
-    """Sum of a column as DOUBLE, independent of row order."""
-    if _is_float(df, name):
-        return F.expr(total_sql(name))
-    return F.sum(name).cast("double")
-
-
-def mean(df: DataFrame, name: str) -> Column:
-    return F.try_divide(total(df, name), F.count(name))
+from pyspark.sql import Column, functions as F
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

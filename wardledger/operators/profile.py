@@ -3,11 +3,33 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardledger.functions.dates import report_year
-from wardledger.functions.money import exact_total, mean, percent, ratio, total
+from wardledger.functions import sums
+from wardledger.functions.money import percent, ratio
 from wardledger.functions.sizes import CATEGORY_BANDS, PROFILE_BANDS
+from wardledger.functions.sums import average, count, count_if, largest, mean, smallest, spread, summarise, total
 from wardledger.session import materialise
 
 
+YEAR_MEASURES = {
+    "hospitals": count(),
+    "avg_beds": average("beds_number"),
+    "total_expenses": total("total_expenses"),
+    "avg_expenses": mean("total_expenses"),
+}
+STATE_MEASURES = {"hospitals": count(), "avg_beds": average("beds_number"), "avg_expenses": mean("total_expenses")}
+SIZE_MEASURES = {"hospitals": count(), "avg_expenses": mean("total_expenses"), "avg_net_income": mean("net_income")}
+FINANCIAL_MEASURES = {
+    "min_expenses": smallest("total_expenses"),
+    "max_expenses": largest("total_expenses"),
+    "avg_expenses": mean("total_expenses"),
+    "stddev_expenses": spread("total_expenses"),
+    "min_net_income": smallest("net_income"),
+    "max_net_income": largest("net_income"),
+    "avg_net_income": mean("net_income"),
+    "loss_making_hospitals": count_if("net_income < 0"),
+}
+
+
 def row_count(df: DataFrame, predicate: Column | None = None) -> DataFrame:
     """One row with the number of rows (that satisfy the predicate)."""
     kept = df if predicate is None else df.filter(predicate)
@@ -33,118 +55,103 @@ def preview(stg: DataFrame, rows: int = 5) -> DataFrame:
 
 
 def by_year(stg: DataFrame) -> DataFrame:
-    return (
-        stg.groupBy(report_year(F.col("report_period")).alias("year"))
-        .agg(
-            F.count("*").alias("hospitals"),
-            F.avg("beds_number").alias("avg_beds"),
-            total(stg, "total_expenses").alias("total_expenses"),
-            mean(stg, "total_expenses").alias("avg_expenses"),
-        )
-        .orderBy("year")
-    )
+    return summarise(stg, {"year": report_year(F.col("report_period"))}, YEAR_MEASURES).orderBy("year")
 
 
 def by_year_filtered(stg: DataFrame, min_beds: int = 50) -> DataFrame:
-    return (
-        stg.filter(F.col("beds_number") > min_beds)
-        .groupBy(report_year(F.col("report_period")).alias("report_year"))
-        .agg(
-            F.count("*").alias("hospital_count"),
-            F.avg("beds_number").alias("avg_beds"),
-            total(stg, "total_expenses").alias("total_expenses"),
-            mean(stg, "total_expenses").alias("avg_expenses"),
-            total(stg, "net_income").alias("total_net_income"),
-            mean(stg, "net_income").alias("avg_net_income"),
-        )
-        .orderBy("report_year")
-    )
+    return summarise(
+        stg.filter(F.col("beds_number") > min_beds),
+        {"report_year": report_year(F.col("report_period"))},
+        {
+            "hospital_count": count(),
+            "avg_beds": average("beds_number"),
+            "total_expenses": total("total_expenses"),
+            "avg_expenses": mean("total_expenses"),
+            "total_net_income": total("net_income"),
+            "avg_net_income": mean("net_income"),
+        },
+    ).orderBy("report_year")
 
 
 def by_state(stg: DataFrame, top: int = 10) -> DataFrame:
     return (
-        stg.groupBy("state")
-        .agg(
-            F.count("*").alias("hospitals"),
-            F.avg("beds_number").alias("avg_beds"),
-            mean(stg, "total_expenses").alias("avg_expenses"),
-        )
+        summarise(stg, {"state": F.col("state")}, STATE_MEASURES)
         .orderBy(F.desc("hospitals"), "state")
         .limit(top)
     )
 
 
 def state_analysis(stg: DataFrame, min_beds: int = 50, min_count: int = 2) -> DataFrame:
-    """States with at least ``min_count`` reports of large enough hospitals."""
+    """States with at least ``min_count`` reports of large enough hospitals.
+
+    The mean of ratios adds up the ratios of single reports, exactly as amounts are.
+    """
     charge_ratio = ratio(F.col("total_charges"), F.col("total_expenses"))
+    states = summarise(
+        stg.filter(F.col("beds_number") > min_beds).withColumn("charge_ratio", charge_ratio),
+        {"state": F.col("state")},
+        {
+            "hospital_count": count(),
+            "avg_beds": average("beds_number"),
+            "avg_expenses": mean("total_expenses"),
+            "avg_net_income": mean("net_income"),
+            "avg_charge_ratio": mean("charge_ratio"),
+        },
+    )
     return (
-        stg.filter(F.col("beds_number") > min_beds)
-        .groupBy("state")
-        .agg(
-            F.count("*").alias("hospital_count"),
-            F.avg("beds_number").alias("avg_beds"),
-            mean(stg, "total_expenses").alias("avg_expenses"),
-            mean(stg, "net_income").alias("avg_net_income"),
-            F.round(F.avg(charge_ratio), 2).alias("avg_charge_ratio"),
-        )
+        states.withColumn("avg_charge_ratio", F.round("avg_charge_ratio", 2))
         .filter(F.col("hospital_count") >= min_count)
         .orderBy(F.desc("avg_expenses"))
     )
 
 
 def bed_size_categories(stg: DataFrame) -> DataFrame:
-    return (
-        stg.groupBy(PROFILE_BANDS.label(F.col("beds_number")).alias("size_category"))
-        .agg(
-            F.count("*").alias("hospitals"),
-            mean(stg, "total_expenses").alias("avg_expenses"),
-            mean(stg, "net_income").alias("avg_net_income"),
-        )
-        .orderBy(PROFILE_BANDS.position(F.col("size_category")))
-    )
+    bands = {"size_category": PROFILE_BANDS.label(F.col("beds_number"))}
+    return summarise(stg, bands, SIZE_MEASURES).orderBy(PROFILE_BANDS.position(F.col("size_category")))
 
 
 def size_categories_filtered(stg: DataFrame, min_beds: int = 50) -> DataFrame:
-    return (
-        stg.filter(F.col("beds_number") > min_beds)
-        .groupBy(CATEGORY_BANDS.label(F.col("beds_number")).alias("size_category"))
-        .agg(
-            F.count("*").alias("hospital_count"),
-            mean(stg, "total_expenses").alias("avg_expenses"),
-            mean(stg, "net_income").alias("avg_net_income"),
-            F.min("net_income").cast("double").alias("min_net_income"),
-            F.max("net_income").cast("double").alias("max_net_income"),
-        )
-        .orderBy(CATEGORY_BANDS.position(F.col("size_category")))
-    )
+    rows = stg.filter(F.col("beds_number") > min_beds).withColumn("income", F.col("net_income").cast("double"))
+    return summarise(
+        rows,
+        {"size_category": CATEGORY_BANDS.label(F.col("beds_number"))},
+        {
+            "hospital_count": count(),
+            "avg_expenses": mean("total_expenses"),
+            "avg_net_income": mean("net_income"),
+            "min_net_income": smallest("income"),
+            "max_net_income": largest("income"),
+        },
+    ).orderBy(CATEGORY_BANDS.position(F.col("size_category")))
+
+
+def _doubles(stg: DataFrame) -> DataFrame:
+    return stg.withColumns({name: F.col(name).cast("double") for name in ("total_expenses", "net_income")})
 
 
 def financial_summary(stg: DataFrame) -> DataFrame:
     """Range, mean and spread of expenses and income over all reports."""
-    return stg.agg(
-        F.min("total_expenses").cast("double").alias("min_expenses"),
-        F.max("total_expenses").cast("double").alias("max_expenses"),
-        mean(stg, "total_expenses").alias("avg_expenses"),
-        F.round(F.stddev_samp(F.col("total_expenses").cast("double")), 2).alias(
-            "stddev_expenses"
-        ),
-        F.min("net_income").cast("double").alias("min_net_income"),
-        F.max("net_income").cast("double").alias("max_net_income"),
-        mean(stg, "net_income").alias("avg_net_income"),
-        F.count_if(F.col("net_income") < 0).alias("loss_making_hospitals"),
-    )
+    return _rounded_spread(summarise(_doubles(stg), {}, FINANCIAL_MEASURES))
+
+
+def _rounded_spread(summary: DataFrame) -> DataFrame:
+    return summary.withColumn("stddev_expenses", F.round("stddev_expenses", 2))
 
 
 def numeric_profile(stg: DataFrame) -> DataFrame:
     """Range and mean of beds and expenses, and hospitals over 50 beds."""
-    return stg.agg(
-        F.min("beds_number").cast("bigint").alias("min_beds"),
-        F.max("beds_number").cast("bigint").alias("max_beds"),
-        F.avg("beds_number").alias("avg_beds"),
-        F.min("total_expenses").cast("double").alias("min_expenses"),
-        F.max("total_expenses").cast("double").alias("max_expenses"),
-        mean(stg, "total_expenses").alias("avg_expenses"),
-        F.count_if(F.col("beds_number") > 50).alias("over_50_beds"),
+    return summarise(
+        _doubles(stg).withColumn("beds", F.col("beds_number").cast("bigint")),
+        {},
+        {
+            "min_beds": smallest("beds"),
+            "max_beds": largest("beds"),
+            "avg_beds": average("beds_number"),
+            "min_expenses": smallest("total_expenses"),
+            "max_expenses": largest("total_expenses"),
+            "avg_expenses": mean("total_expenses"),
+            "over_50_beds": count_if("beds_number > 50"),
+        },
     )
 
 
@@ -224,77 +231,36 @@ def profit_margin(
     )
 
 
-def profile_cells(stg: DataFrame) -> DataFrame:
-    """One row per year, state and size band with sums that add up further.
-
-    ``m2`` is the sum of squared distances from the cell's mean expenses.
-    """
-    expenses = F.col("total_expenses").cast("double")
-    return stg.groupBy(
-        report_year(F.col("report_period")).alias("year"),
-        "state",
-        PROFILE_BANDS.label(F.col("beds_number")).alias("size_category"),
-    ).agg(
-        F.count("*").alias("n"),
-        F.count("beds_number").alias("n_beds"),
-        F.sum("beds_number").alias("beds"),
-        F.count(expenses).alias("n_expenses"),
-        exact_total(stg, "total_expenses").alias("expenses"),
-        F.min(expenses).alias("min_expenses"),
-        F.max(expenses).alias("max_expenses"),
-        F.avg(expenses).alias("mean"),
-        (F.var_pop(expenses) * F.count(expenses)).alias("m2"),
-        F.count("net_income").alias("n_income"),
-        exact_total(stg, "net_income").alias("income"),
-        F.min("net_income").cast("double").alias("min_income"),
-        F.max("net_income").cast("double").alias("max_income"),
-        F.count_if(F.col("net_income") < 0).alias("losses"),
-    )
-
-
 def staging_profile(stg: DataFrame) -> dict[str, DataFrame]:
     """The five result sets of the load report from a single scan.
 
-    The scan leaves a small table of cells; each result adds up cells. The
-    results equal those of the functions that scan on their own.
+    The scan leaves a small table of cells, one for each year, state and size band, with sums
+    of limbs; each result adds up cells. The results equal those of the functions that scan on
+    their own, to the bit.
     """
-    cells = materialise(profile_cells(stg), "profile-cells")
-
-    def mean_of(sums: str, counts: str) -> Column:
-        return F.try_divide(F.sum(sums).cast("double"), F.sum(counts))
-
-    hospitals = F.sum("n").alias("hospitals")
-    avg_beds = mean_of("beds", "n_beds").alias("avg_beds")
-    total_expenses = F.sum("expenses").cast("double").alias("total_expenses")
-    avg_expenses = mean_of("expenses", "n_expenses").alias("avg_expenses")
-    avg_income = mean_of("income", "n_income").alias("avg_net_income")
-
-    grand_mean = cells.agg(mean_of("expenses", "n_expenses")).scalar()
-    shift = F.col("mean") - F.col("grand_mean")
-    squares = F.sum(F.col("m2") + F.col("n_expenses") * shift * shift)
-    variance = F.when(F.sum("n_expenses") > 1, squares / (F.sum("n_expenses") - 1))
+    rows = _doubles(stg)
+    by = {
+        "year": report_year(F.col("report_period")),
+        "state": F.col("state"),
+        "size_category": PROFILE_BANDS.label(F.col("beds_number")),
+    }
+    asked = {
+        "total_records": ([], {"count": count()}),
+        "year_distribution": (["year"], YEAR_MEASURES),
+        "state_distribution": (["state"], STATE_MEASURES),
+        "bed_size_categories": (["size_category"], SIZE_MEASURES),
+        "financial_summary": ([], FINANCIAL_MEASURES),
+    }
+    # The spread first: sums of a column are named after the first measure that asks for it.
+    every = {**FINANCIAL_MEASURES, **YEAR_MEASURES, **STATE_MEASURES, **SIZE_MEASURES, "count": count()}
+    cells = materialise(sums.partial(rows, by, every), "profile-cells")
+    found = {name: sums.combine(rows, cells, keys, every).select(*keys, *measures) for name, (keys, measures) in asked.items()}
     return {
-        "total_records": cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count")),
-        "year_distribution": cells.groupBy("year")
-        .agg(hospitals, avg_beds, total_expenses, avg_expenses)
-        .orderBy("year"),
-        "state_distribution": cells.groupBy("state")
-        .agg(hospitals, avg_beds, avg_expenses)
-        .orderBy(F.desc("hospitals"), "state")
-        .limit(10),
-        "bed_size_categories": cells.groupBy("size_category")
-        .agg(hospitals, avg_expenses, avg_income)
-        .orderBy(PROFILE_BANDS.position(F.col("size_category"))),
-        "financial_summary": cells.select("*", grand_mean.alias("grand_mean")).agg(
-            F.min("min_expenses").alias("min_expenses"),
-            F.max("max_expenses").alias("max_expenses"),
-            avg_expenses,
-            F.round(F.sqrt(variance), 2).alias("stddev_expenses"),
-            F.min("min_income").alias("min_net_income"),
-            F.max("max_income").alias("max_net_income"),
-            avg_income,
-            F.coalesce(F.sum("losses"), F.lit(0)).alias("loss_making_hospitals"),
-        ),
+        "total_records": found["total_records"],
+        "year_distribution": found["year_distribution"].orderBy("year"),
+        "state_distribution": found["state_distribution"].orderBy(F.desc("hospitals"), "state").limit(10),
+        "bed_size_categories": found["bed_size_categories"].orderBy(PROFILE_BANDS.position(F.col("size_category"))),
+        "financial_summary": _rounded_spread(found["financial_summary"]),
     }
 
 

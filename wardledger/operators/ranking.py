@@ -17,11 +17,13 @@ tasks agree with each other.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wardledger.functions.sums import largest, mean, smallest, summarise, total_count
 from wardledger.session import materialise
 
-# Incomes are sums of four-decimal amounts: a bucket of 100 holds at most a
-# million different ones, and each wider bucket a million narrower ones.
-FIRST_BUCKET = 100.0
+# Sums of four-decimal amounts are close to multiples of 1/10,000, a last bit or two off: a
+# bucket of 10 holds a few hundred thousand different ones, and each wider bucket a million
+# narrower ones.
+FIRST_BUCKET = 10.0
 FANOUT = 1_000_000.0
 LEVELS = 3
 
@@ -133,14 +135,15 @@ def rank_incomes(rows: DataFrame) -> DataFrame:
 
 def _tile_sums(pieces: DataFrame) -> DataFrame:
     """Summary per tile of ``tile, key, providers``: income and how many have it."""
-    income = F.col("key").cast("decimal(28,4)")
-    return pieces.groupBy(F.col("tile").cast("bigint").alias("quartile")).agg(
-        F.sum("providers").alias("providers"),
-        F.min("key").alias("min_net_income"),
-        F.max("key").alias("max_net_income"),
-        F.try_divide(
-            F.sum(income * F.col("providers")).cast("double"), F.sum("providers")
-        ).alias("avg_net_income"),
+    return summarise(
+        pieces,
+        {"quartile": F.col("tile").cast("bigint")},
+        {
+            "providers": total_count("providers"),
+            "min_net_income": smallest("key"),
+            "max_net_income": largest("key"),
+            "avg_net_income": mean("key", weight="providers"),
+        },
     )
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wardledger.functions.dates import report_year, year_equals
-from wardledger.functions.money import mean, total, total_sql
+from wardledger.functions.sums import mean, summarise, summary_ctes, total
 from wardledger.operators.ranking import (
     rank_incomes,
     rank_incomes_in_one_task,
@@ -48,12 +48,15 @@ def yearly_summary(reports: DataFrame) -> DataFrame:
     Partial sums are formed before the shuffle, so a provider holding a large
     part of all rows sends one row per task.
     """
-    return reports.groupBy(
-        "provider_id", report_year(F.col("report_period")).alias("report_year")
-    ).agg(
-        total(reports, "total_expenses").alias("total_expenses"),
-        mean(reports, "total_charges").alias("avg_charges"),
-        total(reports, "net_income").alias("total_net_income"),
+    keys = {"provider_id": F.col("provider_id"), "report_year": report_year(F.col("report_period"))}
+    return summarise(
+        reports,
+        keys,
+        {
+            "total_expenses": total("total_expenses"),
+            "avg_charges": mean("total_charges"),
+            "total_net_income": total("net_income"),
+        },
     )
 
 
@@ -107,18 +110,16 @@ def flagship(
 
 
 # The flagship query as SQL text over a registered view. The sums are filled in
-# from ``money``; ``first_rows`` cuts the report before ranking, for the reason
+# from ``sums``; ``first_rows`` cuts the report before ranking, for the reason
 # given in ``flagship``.
 FLAGSHIP_SQL = """
-WITH yearly_summary AS (
-  SELECT provider_id,
-         CAST(year(report_period) AS BIGINT) AS report_year,
+WITH {sums},
+yearly_summary AS (
+  SELECT provider_id, report_year,
          {expenses} AS total_expenses,
-         try_divide({charges}, count(total_charges)) AS avg_charges,
+         try_divide({charges}, {n_charges}) AS avg_charges,
          {income} AS total_net_income
-  FROM {view}
-  WHERE beds_number > 50
-  GROUP BY provider_id, year(report_period)
+  FROM merged
 ),
 neighbours AS (
   SELECT *,
@@ -144,11 +145,18 @@ ORDER BY report_year, income_rank, provider_id
 def flagship_sql(stg: DataFrame, view: str) -> DataFrame:
     """Register ``stg`` as a view and run the flagship query as SQL text."""
     stg.createOrReplaceTempView(view)
+    sums, texts = summary_ctes(
+        view,
+        {"provider_id": "provider_id", "report_year": "CAST(year(report_period) AS BIGINT)"},
+        ["total_expenses", "total_charges", "net_income"],
+        "beds_number > 50",
+    )
     text = FLAGSHIP_SQL.format(
-        view=view,
-        expenses=total_sql("total_expenses"),
-        charges=total_sql("total_charges"),
-        income=total_sql("net_income"),
+        sums=sums,
+        expenses=texts["total_expenses"][0],
+        charges=texts["total_charges"][0],
+        n_charges=texts["total_charges"][1],
+        income=texts["net_income"][0],
     )
     return stg.sparkSession.sql(text)
 

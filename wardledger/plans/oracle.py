@@ -74,11 +74,25 @@ def _stg(body: str) -> str:
 
 
 def _total(column: str) -> str:
-    return f"CAST(SUM({column}) AS DOUBLE)"
+    """The exact sum of doubles: whole multiples of 2**-70, rounded once to the nearest double.
+
+    The leading 61 or 62 bits go into one integer, with its last bit set if bits below are not
+    zero, and that integer becomes the double.
+    """
+    units = f"SUM(CAST(CAST({column} AS DOUBLE) * pow(2.0, 70) AS HUGEINT))"
+    size = f"abs({units})"
+    shift = f"CAST(greatest(0, floor(log2(CAST({size} AS DOUBLE) + 1)) - 60) AS HUGEINT)"
+    rest = f"CASE WHEN (({size} >> {shift}) << {shift}) <> {size} THEN CAST(1 AS HUGEINT) ELSE CAST(0 AS HUGEINT) END"
+    head = f"CAST(CAST((({size} >> {shift}) | ({rest})) AS BIGINT) AS DOUBLE)"
+    return f"(CASE WHEN {units} < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * {head} * pow(2.0, CAST({shift} AS INTEGER) - 70))"
 
 
 def _mean(column: str) -> str:
-    return f"CAST(SUM({column}) AS DOUBLE) / COUNT({column})"
+    return f"{_total(column)} / COUNT({column})"
+
+
+def _total_decimal(column: str) -> str:
+    return f"CAST(SUM({column}) AS DOUBLE)"
 
 
 def _d(number: float) -> str:
@@ -395,7 +409,7 @@ def oracle() -> dict[str, str]:
     quartiles = _on_ranked(
         "SELECT quartile, COUNT(*) AS providers, MIN(total_net_income) AS min_net_income, "
         "MAX(total_net_income) AS max_net_income, "
-        "CAST(SUM(CAST(total_net_income AS DECIMAL(18,4))) AS DOUBLE) / COUNT(*) AS avg_net_income "
+        f"{_total('total_net_income')} / COUNT(*) AS avg_net_income "
         "FROM (SELECT total_net_income, CAST(NTILE(4) OVER (ORDER BY total_net_income, provider_id) "
         "AS BIGINT) AS quartile FROM ranked) GROUP BY quartile"
     )
@@ -709,7 +723,7 @@ diffs AS (SELECT *, ROUND((external - native) / native * 100, 1) + CAST(0 AS DOU
             )
             + ", CAST(COALESCE(SUM(CASE WHEN phase IN ('data_generation', 'data_load', 'analytics') "
             "THEN NULL ELSE seconds END), 0) AS DOUBLE) AS other"
-            + f", {_total('seconds')} AS total FROM phases GROUP BY engine",
+            + f", {_total_decimal('seconds')} AS total FROM phases GROUP BY engine",
         ),
         "engine_cost_comparison": _with(
             JOBS,
@@ -717,7 +731,7 @@ diffs AS (SELECT *, ROUND((external - native) / native * 100, 1) + CAST(0 AS DOU
         ),
         "phase_rollup": _with(
             PHASES,
-            body=f"SELECT engine, {_total('seconds')} AS total_seconds, "
+            body=f"SELECT engine, {_total_decimal('seconds')} AS total_seconds, "
             "CAST(MAX(memory_mb) AS BIGINT) AS peak_memory FROM phases GROUP BY engine",
         ),
         "resource_samples_summary": _with(
