@@ -171,7 +171,8 @@ def left_steps(n: str) -> Steps:
     """A column ``{n}o_v``: what the rounded sum ``{n}_v`` leaves of the exact one."""
     head = f"CAST({n}_c5 AS DOUBLE)"
     below = f"CAST({n}_c5 - CAST({head} AS BIGINT) AS DOUBLE) * {2.0**40!r}D + CAST({n}_c4 & {_MASK} AS DOUBLE) * {2.0**16!r}D"
-    return [{f"{n}o_v": f"((({head} * {2.0**40!r}D - {n}_v) + ({below})) + {n}_hb) + {n}_hc"}]
+    lost = f"({head} * {2.0**40!r}D - {n}_ha) + ({below})"  # by the head of a sum beyond 2**69
+    return [{f"{n}o_v": f"(({n}_ht - {n}_v) + {n}_htl) + {n}_hul + ({lost})"}]
 
 
 def _sum_sql(n: str, parts: list[str]) -> str:
