@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardledger.llm.jaccard import FACTOR, SHINGLE
-from wardledger.llm.shared import as_bytes, mix, table, words
+from wardledger.llm.shared import Remembered, as_bytes, mix, table, words
 
 RADIUS = 16
 SIMILARITY = 0.8
@@ -160,18 +160,11 @@ class Index:
                     yield self.ids[k], start, size, found.get(k, (self.prints[k] ^ fingerprint).bit_count()), alike
 
 
-class _Hashes(dict):
-    def __missing__(self, word):
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_known = _Hashes()
+_known = Remembered(xxhash.xxh3_64_intdigest)
 
 
 def _hashes(own: list[bytes]) -> np.ndarray:
-    if len(_known) > 500_000:
-        _known.clear()
+    _known.trim()
     return np.fromiter(map(_known.__getitem__, own), np.uint64, len(own))
 
 
@@ -191,6 +184,7 @@ def _judge(index, last):
             yield pa.RecordBatch.from_arrays(
                 [*rest.columns, pa.array(spans, _SPAN_ARROW)], [*rest.schema.names, "__spans"]
             )
+        _known.clear()
 
     return run
 

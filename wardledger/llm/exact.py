@@ -20,7 +20,7 @@ of other names are ignored, or pass through ``drop_exact_duplicates``.
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardledger.llm.shared import fold_ascii, table, write_table
+from wardledger.llm.shared import fold_ascii, table, write_table, unused_names
 
 #: Runs that meet in one round: 2 ** FAN_BITS.
 FAN_BITS = 4
@@ -81,15 +81,14 @@ def drop_exact_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
     Rows are found again by doc_id and digest; a digest has one kept id, so texts that many
     rows share are no hot key. Rows that repeat both are neighbours then, and one is taken.
     """
+    own, digest, copy = unused_names(docs, "__id", "__digest", "__copy")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
-    marked = mark_duplicates(docs, keep).where("kept").select(
-        key.alias("__id"), F.col("text_sha256").alias("__digest")
-    )
-    found = docs.withColumns({"__id": key, "__digest": F.sha2(_normalised(F.col("text")), 256)})
-    same = Window.partitionBy("__id", "__digest").orderBy("__id")
+    marked = mark_duplicates(docs, keep).where("kept").select(key.alias(own), F.col("text_sha256").alias(digest))
+    found = docs.withColumns({own: key, digest: F.sha2(_normalised(F.col("text")), 256)})
+    same = Window.partitionBy(own, digest).orderBy(own)
     return (
-        found.join(marked, ["__id", "__digest"], "left_semi")
-        .withColumn("__copy", F.row_number().over(same)).where("__copy = 1")
+        found.join(marked, [own, digest], "left_semi")
+        .withColumn(copy, F.row_number().over(same)).where(F.col(copy) == 1)
         .select(*docs.columns)
     )
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardledger.llm.shared import as_bytes, fold_of_id, table
+from wardledger.llm.shared import Remembered, as_bytes, fold_of_id, table
 
 MAX_TRAIN = 6000
 HASH_BITS = 15
@@ -52,19 +52,12 @@ _UPPER, _LOWER, _DIGIT, _SYMBOL, _STOP, _WHITE = (
 )
 
 
-class _Buckets(dict):
-    def __missing__(self, word):
-        self[word] = value = zlib.crc32(word) & (WORDS - 1)
-        return value
-
-
-_known = _Buckets()
+_known = Remembered(lambda word: zlib.crc32(word) & (WORDS - 1))
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Indexes and values of a text; word features have length 1 together."""
-    if len(_known) > 500_000:
-        _known.clear()
+    _known.trim()
     own = text.lower().split()
     buckets = np.fromiter(map(_known.__getitem__, own), np.int64, len(own))
     found = np.unique(buckets)
@@ -150,6 +143,7 @@ def _features(batches):
             ],
             ["quality", "index", "x"],
         )
+    _known.clear()
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_fold: int = 2, folds: int = 4, most: int = MAX_TRAIN) -> Model | None:
@@ -162,6 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_fold: int = 2, folds: int = 4,
     )
     # At most ``most`` ids and labels: small enough for every task.
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # Of rows that repeat an id, the one with the last text: no more rows than ids are collected.
+    texts = texts.groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
     rows = texts.select(F.col("quality").cast("double").alias("quality"), "text").mapInArrow(
         _features, "quality double, index array<int>, x array<double>"
     ).collect()
@@ -179,6 +175,7 @@ def _score(model):
             scores = [known.score(t) for t in as_bytes(batch.column("__text"))]
             rest = batch.drop_columns(["__text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(scores, pa.float64())], [*rest.schema.names, "__score"])
+        _known.clear()
 
     return run
 

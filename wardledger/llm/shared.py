@@ -59,6 +59,31 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(planes, np.uint8).reshape(width, n).T.copy().view(f"<u{width}")[:, 0]
 
 
+class Remembered(dict):
+    """Values of words, made once by ``make`` and kept while they take less than ``limit`` bytes.
+
+    ``trim`` empties it beyond that; operators call it between batches, and ``clear`` when a task
+    ends, so that a reused worker carries nothing on.
+    """
+
+    def __init__(self, make, limit: int = 16 << 20):
+        super().__init__()
+        self.make, self.limit, self.size = make, limit, 0
+
+    def __missing__(self, word: bytes):
+        self[word] = value = self.make(word)
+        self.size += len(word) + 150
+        return value
+
+    def trim(self) -> None:
+        if self.size > self.limit:
+            self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values: close inputs get unrelated outputs."""
     x = values.astype(np.uint64)
@@ -93,5 +118,17 @@ def drop_tables(spark: SparkSession, *paths: str) -> None:
     jvm.System.gc()
 
 
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` is called so in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def fresh_name(prefix: str) -> str:
     return f"{prefix}-{uuid.uuid4().hex}"

@@ -25,8 +25,10 @@ from wardledger.llm.shared import as_bytes, fresh_path, table, write_table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-#: Distinct pieces that a Python worker remembers before it starts afresh.
-REMEMBER = 1_000_000
+#: Bytes of pieces and values, about, in each of the two generations that a Python worker remembers.
+REMEMBER = 64 << 20
+#: What a piece takes beside its bytes and those of its value.
+ENTRY = 180
 #: Where the two kinds of tokenizer always cut. "words": at ASCII white space, which the
 #: pre-tokenizer drops. "spaces": before a single space, which begins the next token; a
 #: space next to other white space may join it, so such texts go to the library whole, as
@@ -54,7 +56,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.split = SPLIT.get(path.rpartition("/")[2])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Recent pieces, and those of the generation before; a piece of the latter that comes
+        # again is recent, and the rest of it goes when the recent ones are full.
         self.known: dict[bytes, object] = {}
+        self.before: dict[bytes, object] = {}
+        self.held = 0
         # Ids of tokens that begin with a space: in a row of words, each starts one.
         self.opens = None
         if self.split == "spaces" and not counts:
@@ -119,10 +125,10 @@ class Encoder:
 
     def encode(self, texts: list[bytes]):
         """For each text the values of its pieces."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+        if self.held > REMEMBER:
+            self.before, self.known, self.held = self.known, {}, 0
         cut = [None if b"\0" in t else self.pieces(t) for t in texts]
-        known = self.known
+        known, before = self.known, self.before
         got, gaps, new = [], [], set()
         for parts in cut:
             # One look-up a piece; only what was missing is looked up again.
@@ -132,11 +138,17 @@ class Encoder:
                 new.update([p for p, v in zip(parts, values) if v is None])
             got.append(values)
             gaps.append(gap)
+        met = {p: before[p] for p in new if p in before}
+        new -= met.keys()
         ends = {p: c for p in new if (c := self.core(p))}
+        met.update((p, before[p]) for pair in ends.values() for p in pair if p in before and p not in known)
+        known.update(met)
         alone = [p for p in {*(new - ends.keys()), *(c for c, _ in ends.values()), *(e for _, e in ends.values())} if p not in known]
         for i in range(0, len(alone), 4096):
             known.update(self.each(alone[i : i + 4096]))
         known.update((p, known[c] + known[e]) for p, (c, e) in ends.items())
+        for some in (met, alone, ends):
+            self.held += sum(map(len, some)) + ENTRY * len(some)
         rest = [i for i, parts in enumerate(cut) if parts is None]
         whole = dict(zip(rest, self.whole([texts[i].decode() for i in rest])))
         for i, (parts, gap) in enumerate(zip(cut, gaps)):

@@ -29,8 +29,7 @@ BITS_PER_KEY = 16
 PROBES = 8
 BLOCK_BYTES = 64
 MAX_FILTER_BYTES = 32 << 20
-#: Different prefix lengths of listed paths that get a key each; longer ones are cut to
-#: the next shorter of these for the filter, and the join looks at the whole path.
+#: Fixed values of the registered query: host, path and verdict.
 RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
