@@ -14,6 +14,9 @@ and for sums up to 10**31.
 Products enter as two doubles, the rounded product and its error, so that squares and weighted
 sums are exact too (squares of amounts below 2**39); the spread is formed from sums kept to
 twice the precision of a double.
+
+The final rounding is a chain of projections. To join a summary on its sums, write it first: the
+optimiser would carry what it infers of every step through the join.
 """
 
 from dataclasses import dataclass

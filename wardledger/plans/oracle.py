@@ -531,6 +531,7 @@ def oracle() -> dict[str, str]:
         "csv_load": loaded,
         "staging_roundtrip": loaded,
         "load_overwrite": loaded,
+        "versioned_load": loaded,
         "load_append": _stg(
             f"SELECT {NATIVE_TYPED} FROM stg UNION ALL SELECT {NATIVE_TYPED} FROM stg"
         ),

@@ -17,8 +17,8 @@ from wardledger.operators import (
     yearly,
 )
 from wardledger.plans import bindings
-from wardledger.session import fresh_path
-from wardledger.sources import landing, staging
+from wardledger.session import fresh_path, materialise
+from wardledger.sources import landing, staging, versions
 
 YEAR = 1997
 ID_RANGE = (100020, 100040)
@@ -112,6 +112,16 @@ def _csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_columns(staging.load_staging(spark, files, fresh_path(spark, "csv-load")))
 
 
+def _versioned_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch a report period, appended to a versioned table; the first of them comes twice."""
+    path = fresh_path(spark, "versioned")
+    reports = bindings.staging_order(bindings.staging(spark, sf_dir))
+    periods = [r[0] for r in reports.select("report_period").distinct().orderBy("report_period").collect()]
+    for period in [*periods[:1], *periods]:
+        staging.load_batch(reports.filter(F.col("report_period") == period), path, f"reports-{period}")
+    return _all_columns(versions.read(spark, path))
+
+
 def _table_recreate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Create the catalog table from large hospitals only, then from all."""
     reports = bindings.staging_order(bindings.staging(spark, sf_dir))
@@ -174,7 +184,7 @@ def _storage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _yearly_summary_sample(stg: DataFrame) -> DataFrame:
     """How many rows an unordered sample has, and how many of them are rows of the summary."""
-    summary = yearly.yearly_summary(yearly.cost_reports(stg))
+    summary = materialise(yearly.yearly_summary(yearly.cost_reports(stg)), "summary")
     sample = summary.limit(10).withColumn("sampled", F.lit(1))
     found = sample.join(summary.select(*summary.columns), summary.columns, "left_semi")
     return sample.agg(F.count("*").alias("rows")).select("rows", found.agg(F.count("*")).scalar().alias("rows_in_summary"))
@@ -425,6 +435,7 @@ QUERIES: dict[str, Query] = {
     "load_overwrite": _load(["overwrite", "overwrite"]),
     "load_append": _load(["overwrite", "append"]),
     "table_recreate": _table_recreate,
+    "versioned_load": _versioned_load,
     "external_renamed_scan": _external_renamed_scan,
     "external_multi_file_scan": _external_multi_file_scan,
     "external_copies_summary": _external_copies_summary,

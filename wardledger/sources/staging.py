@@ -10,6 +10,7 @@ from wardledger.schema import (
     NATIVE_SCHEMA,
     PARTITION_COLUMN,
 )
+from wardledger.sources import versions
 
 
 def read_csv(
@@ -78,6 +79,16 @@ def load_staging(
     return read_staging(spark, path)
 
 
+def replace_table(df: DataFrame, path: str) -> versions.Version:
+    """Truncate and load a versioned table; readers see the old rows until all new ones are there."""
+    return versions.load(clustered(enforce_required(df)), path, "overwrite")
+
+
+def load_batch(df: DataFrame, path: str, batch: str) -> versions.Version:
+    """Append a batch to a versioned table, once however often it is repeated."""
+    return versions.load(clustered(enforce_required(df)), path, "append", batch)
+
+
 def recreate_table(df: DataFrame, name: str, path: str, partition_by: list[str]) -> DataFrame:
     """Replace the catalog table ``name`` by ``df``, stored under the unused ``path``.
 
