@@ -260,6 +260,35 @@ def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resource samples with the time they were taken."""
+    at = table(spark, sf_dir, "events").select(F.col("event_id").alias("sample_id"), F.col("ts").alias("at"))
+    return phases(spark, sf_dir).join(at, "sample_id")
+
+
+def engine_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored objects of the engines; one engine has none, and one has no jobs."""
+    owner = F.when(F.col("object_id") % 3 == 0, "native").when(F.col("object_id") % 3 == 1, "external").otherwise("archive")
+    return objects(spark, sf_dir).select(
+        owner.alias("engine"), "size_bytes", "physical_bytes", F.col("days_stored").alias("partition")
+    )
+
+
+def job_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs with kind, state, times and changed rows; a failed event is a job that still runs."""
+    events = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "view", "QUERY").when(F.col("event_type") == "click", "LOAD").otherwise("COPY")
+    more = events.select(
+        F.col("event_id").alias("job_id"),
+        kind.alias("job_type"),
+        F.when(F.col("event_type") == "error", "RUNNING").otherwise("DONE").alias("state"),
+        (F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 60)).alias("start_time"),
+        F.when(kind == "LOAD", F.col("event_id") % 1000).alias("num_dml_affected_rows"),
+    )
+    end = F.col("start_time") + F.make_dt_interval(secs=F.col("total_slot_ms") / 1000)
+    return jobs(spark, sf_dir).join(more, "job_id").withColumn("end_time", F.when(F.col("state") == "DONE", end))
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON arrays as a query service returns them."""
     repeated = F.repeat(F.concat("props", F.lit(",")), (F.col("event_id") % 3).cast("int"))

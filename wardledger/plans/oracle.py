@@ -247,6 +247,106 @@ costs AS (
 COMPONENTS = ["cloud_storage", "query", "table_storage", "compute", "network"]
 
 
+ISO = "'%Y-%m-%dT%H:%M:%S'"
+HISTORY = f"""history AS (
+  SELECT j.*, CASE event_type WHEN 'view' THEN 'QUERY' WHEN 'click' THEN 'LOAD' ELSE 'COPY' END AS job_type,
+         CASE WHEN event_type = 'error' THEN 'RUNNING' ELSE 'DONE' END AS state,
+         strftime(ts, {ISO}) AS created,
+         strftime(ts + to_seconds(event_id % 60), {ISO}) AS started,
+         CASE WHEN event_type = 'error' THEN ''
+              ELSE strftime(ts + to_seconds(event_id % 60 + (event_id % 7) * 5), {ISO}) END AS ended,
+         CASE WHEN event_type = 'click' THEN event_id % 1000 ELSE 0 END AS changed
+  FROM jobs j JOIN events e ON e.event_id = j.job_id)"""
+MEASURED = f"""measured AS (
+  SELECT p.engine, p.phase, CAST(SUM(p.seconds) AS DOUBLE) AS seconds, AVG(p.cpu_percent) AS cpu,
+         CAST(MAX(p.cpu_percent) AS DOUBLE) AS cpu_max, AVG(p.memory_mb) AS memory,
+         CAST(MAX(p.memory_mb) AS DOUBLE) AS memory_max,
+         strftime(MIN(e.ts), {ISO}) AS first, strftime(MAX(e.ts), {ISO}) AS last
+  FROM phases p JOIN events e ON e.event_id = p.sample_id
+  WHERE p.phase IN ('data_generation', 'data_load') GROUP BY p.engine, p.phase)"""
+STORED = """stored AS (
+  SELECT CASE object_id % 3 WHEN 0 THEN 'native' WHEN 1 THEN 'external' ELSE 'archive' END AS engine,
+         CAST(SUM(size_bytes) AS BIGINT) AS logical, CAST(SUM(physical_bytes) AS BIGINT) AS physical,
+         COUNT(*) AS num_rows, COUNT(DISTINCT days_stored) AS num_partitions
+  FROM objects GROUP BY 1)"""
+RECORDED = """recorded AS (
+  SELECT engine, COALESCE(logical, 0) AS csv_bytes, COALESCE(logical, 0) AS logical_bytes,
+         COALESCE(physical, 0) AS physical_bytes, COALESCE(num_rows, 0) AS num_rows,
+         COALESCE(num_partitions, 0) AS num_partitions, COALESCE(processed, 0) AS processed_bytes,
+         COALESCE(slot, 0) AS slot_ms, COALESCE(seconds, CAST(0 AS DOUBLE)) AS seconds,
+         COALESCE(memory_mb, CAST(0 AS DOUBLE)) AS memory_mb
+  FROM stored FULL JOIN (
+    SELECT engine, CAST(SUM(COALESCE(total_bytes_processed, 0)) AS BIGINT) AS processed,
+           CAST(SUM(total_slot_ms) AS BIGINT) AS slot FROM jobs GROUP BY engine) USING (engine)
+  FULL JOIN (
+    SELECT engine, COALESCE(MAX(CASE WHEN phase = 'data_generation' THEN seconds END), CAST(0 AS DOUBLE))
+             + COALESCE(MAX(CASE WHEN phase = 'data_load' THEN seconds END), CAST(0 AS DOUBLE)) AS seconds,
+           MAX(memory_max) AS memory_mb
+    FROM measured GROUP BY engine) USING (engine))"""
+
+
+def _mib(size: str) -> str:
+    return f"CAST({size} AS DOUBLE) / {_d(1024.0**2)}"
+
+
+def _record_storage() -> str:
+    return _with(
+        JOBS, PHASES, OBJECTS, MEASURED, STORED, RECORDED,
+        body=f"SELECT engine AS engine_name, csv_bytes AS raw_csv_bytes, {_mib('csv_bytes')} AS raw_csv_mb, "
+        f"logical_bytes, physical_bytes, {_mib('logical_bytes')} AS logical_mb, {_mib('physical_bytes')} AS physical_mb, "
+        "CASE WHEN logical_bytes > 0 THEN CAST(physical_bytes AS DOUBLE) / CAST(logical_bytes AS DOUBLE) ELSE CAST(0 AS DOUBLE) END "
+        "AS compression_ratio, num_rows, num_partitions FROM recorded",
+    )
+
+
+def _record_jobs() -> str:
+    return _with(
+        JOBS, HISTORY,
+        body="SELECT engine AS engine_name, place, job_id, job_type, state, created AS creation_time, started AS start_time, "
+        "ended AS end_time, total_slot_ms, COALESCE(total_bytes_processed, 0) AS total_bytes_processed, total_bytes_billed, "
+        f"{_on_demand('total_bytes_billed')} AS query_cost_usd, changed AS num_dml_affected_rows "
+        "FROM (SELECT *, CAST(row_number() OVER (PARTITION BY engine ORDER BY creation_time DESC, job_id DESC) AS INTEGER) AS place "
+        "FROM history) WHERE place <= 5",
+    )
+
+
+def _record_costs() -> str:
+    gb, zero = _gb("csv_bytes"), _d(0.0)
+    hours = f"(seconds / {_d(3600.0)})"
+    base = f"({hours} * {_d(0.00478)})"
+    discount = f"(CASE WHEN {hours} <= 744 THEN LEAST({base}, {base}) ELSE {zero} END)"
+    figures = {
+        "cloud_storage": {
+            "total_storage_cost_usd": "cloud_storage_usd", "storage_cost_usd": f"{gb} * {_d(0.023)} * {_months('30')}",
+            "operations_cost_usd": UPLOAD, "size_gb": gb, "storage_class": "'standard_regional'", "rate_per_gb_month": _d(0.023),
+        },
+        "query": {
+            "on_demand_cost_usd": _on_demand("processed_bytes"), "slot_cost_usd": _slot("slot_ms"), "recommended_cost_usd": "query_usd",
+            "bytes_processed": "processed_bytes", "tb_processed": f"CAST(processed_bytes AS DOUBLE) / {_d(1024.0**4)}", "slot_milliseconds": "slot_ms",
+        },
+        "table_storage": {
+            "total_storage_cost_usd": "table_storage_usd", "active_storage_cost_usd": _active("logical_bytes", "30"),
+            "longterm_storage_cost_usd": _longterm("physical_bytes", "30"), "logical_gb": _gb("logical_bytes"),
+            "physical_gb": _gb("physical_bytes"), "days_stored": "30",
+        },
+        "compute": {
+            "total_compute_cost_usd": "compute_usd", "base_cost_usd": base, "free_tier_discount_usd": discount, "vcpu_hours": hours,
+            "memory_gb_hours": f"memory_mb / {_d(1024.0)} * {hours}", "machine_type": "'e2-micro'",
+        },
+        "network": {
+            "total_network_cost_usd": "network_usd", "egress_cost_usd": "network_usd", "ingress_cost_usd": zero, "egress_gb": gb,
+            "billable_egress_gb": _egress(gb), "free_egress_used_gb": f"LEAST({gb}, {_d(1024.0)})",
+        },
+    }
+    wide = ", ".join(f"{text} AS detail_{s}_{f}" for s, own in figures.items() for f, text in own.items())
+    parts = ", ".join(f"{c}_usd AS {c}_cost_usd" for c in COMPONENTS)
+    own = _run_costs("recorded", "engine, csv_bytes, logical_bytes, physical_bytes, processed_bytes, slot_ms, seconds, memory_mb")
+    return _with(
+        JOBS, PHASES, OBJECTS, MEASURED, STORED, RECORDED, own,
+        body=f"SELECT engine AS engine_name, total_usd AS total_cost_usd, {parts}, 'us-central1' AS pricing_region, {wide} FROM costs",
+    )
+
+
 def _cost_share() -> str:
     sums = ", ".join(
         f"COALESCE(SUM({c}_usd), {_d(0.0)}) AS {c}" for c in COMPONENTS
@@ -531,6 +631,15 @@ def oracle() -> dict[str, str]:
         "csv_load": loaded,
         "staging_roundtrip": loaded,
         "load_overwrite": loaded,
+        "record_performance": _with(
+            PHASES, MEASURED,
+            body="SELECT engine AS engine_name, phase, seconds AS execution_time_seconds, cpu AS cpu_percent_avg, "
+            "cpu_max AS cpu_percent_max, memory AS memory_mb_avg, memory_max AS memory_mb_max, memory_max AS memory_mb_peak, "
+            "first AS start_time, last AS end_time FROM measured",
+        ),
+        "record_storage": _record_storage(),
+        "record_jobs": _record_jobs(),
+        "record_costs": _record_costs(),
         "versioned_load": loaded,
         "load_append": _stg(
             f"SELECT {NATIVE_TYPED} FROM stg UNION ALL SELECT {NATIVE_TYPED} FROM stg"

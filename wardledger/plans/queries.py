@@ -14,6 +14,7 @@ from wardledger.operators import (
     profile,
     quality,
     ranking,
+    record,
     yearly,
 )
 from wardledger.plans import bindings
@@ -385,6 +386,21 @@ def _metrics_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.long_form(metrics.flat_form(back))
 
 
+def _record(rows) -> Query:
+    """Part of the whole result record, after it went to JSON and back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nested = record.record(
+            bindings.samples(spark, sf_dir),
+            bindings.engine_objects(spark, sf_dir),
+            bindings.job_history(spark, sf_dir),
+            at="2024-01-01T00:00:00",
+        )
+        return rows(metrics.json_roundtrip(nested))
+
+    return run
+
+
 def _recent_jobs(jobs: DataFrame) -> DataFrame:
     return metrics.recent_jobs(jobs).select("engine", F.inline("jobs"))
 
@@ -477,5 +493,9 @@ QUERIES: dict[str, Query] = {
     "storage_ratio": _on(bindings.objects, benchmark.storage_ratio),
     "metrics_long_form": _on(_results, lambda r: metrics.csv_roundtrip(metrics.long_form(r))),
     "metrics_json_roundtrip": _metrics_json_roundtrip,
+    "record_performance": _record(record.performance_rows),
+    "record_storage": _record(record.storage_rows),
+    "record_jobs": _record(record.job_rows),
+    "record_costs": _record(record.cost_rows),
     "recent_jobs": _on(bindings.jobs, _recent_jobs),
 }
