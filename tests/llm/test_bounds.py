@@ -17,12 +17,12 @@ def test_remembered_words_take_bounded_bytes():
     assert not known and known.size == 0
 
 
-def test_two_generations_of_pieces_give_the_same_ids(monkeypatch):
+def test_two_generations_of_pieces_give_the_same_ids():
     rng = random.Random(6)
     texts = [prose(rng, 60).encode() for _ in range(200)]
     whole = tokens.Encoder(tokens.BYTE_BPE, False).ids(texts)
-    monkeypatch.setattr(tokens, "REMEMBER", 5_000)
     small = tokens.Encoder(tokens.BYTE_BPE, False)
+    small.remember = 5_000
     assert [x for i in range(0, 200, 10) for x in small.ids(texts[i : i + 10])] == whole
     assert small.before and small.held < 60_000
     counts = tokens.Encoder(tokens.WORD_BPE, True)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardledger.llm.shared import as_bytes, table, write_table
-from wardledger.llm.tokens import BYTE_BPE, Encoder, small_batches
+from wardledger.llm.tokens import BYTE_BPE, REMEMBER, Encoder, small_batches
 
 LENGTH = 2048
 GROUP = 1 << 14
@@ -37,9 +37,9 @@ def cuts(n: int, length: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, length) for at in range(first, n, length)]
 
 
-def _pieces(tokenizer, length, with_ids):
+def _pieces(tokenizer, length, with_ids, remember):
     def run(batches):
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, remember=remember)
         for batch in batches:
             for part in small_batches(batch):
                 rows = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
@@ -122,12 +122,15 @@ def _pack(length):
     return run
 
 
-def pack_documents(docs: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_BPE, with_ids: bool = False) -> DataFrame:
-    """Every piece with its sequence and place; with its ids as 32-bit integers if asked for."""
+def pack_documents(docs: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_BPE, with_ids: bool = False, remember: int = REMEMBER) -> DataFrame:
+    """Every piece with its sequence and place; with its ids as 32-bit integers if asked for.
+
+    ``remember`` bounds each of the two generations of encoded words that a worker keeps, in bytes.
+    """
     fields = PIECE + (", ids binary" if with_ids else "")
     text = F.coalesce("text", F.lit(""))
     pieces, _ = write_table(
-        docs.select("doc_id", text).mapInArrow(_pieces(tokenizer, length, with_ids), fields), "pieces"
+        docs.select("doc_id", text).mapInArrow(_pieces(tokenizer, length, with_ids, remember), fields), "pieces"
     )
     groups = max(1, pieces.count() // GROUP)
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
@@ -135,4 +138,5 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    # Nothing else runs beside it, so its words may take more room than in the pipeline.
+    return pack_documents(table(spark, sf_dir, "documents"), remember=144 << 20)

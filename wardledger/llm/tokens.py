@@ -60,7 +60,7 @@ class Encoder:
         # again is recent, and the rest of it goes when the recent ones are full.
         self.known: dict[bytes, object] = {}
         self.before: dict[bytes, object] = {}
-        self.held = 0
+        self.held, self.remember = 0, REMEMBER
         # Ids of tokens that begin with a space: in a row of words, each starts one.
         self.opens = None
         if self.split == "spaces" and not counts:
@@ -70,10 +70,12 @@ class Encoder:
         self.value = (lambda e: len(e)) if counts else (lambda e: np.array(e.ids, "<u4").tobytes())
 
     @classmethod
-    def of(cls, path: str, counts: bool = False) -> "Encoder":
+    def of(cls, path: str, counts: bool = False, remember: int | None = None) -> "Encoder":
+        """The encoder of a worker; ``remember`` bounds each generation of its pieces in bytes."""
         key = (path, counts)
         if key not in _encoders:
             _encoders[key] = cls(path, counts)
+        _encoders[key].remember = remember or REMEMBER
         return _encoders[key]
 
     def whole(self, texts: list[str]) -> list:
@@ -125,7 +127,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]):
         """For each text the values of its pieces."""
-        if self.held > REMEMBER:
+        if self.held > self.remember:
             self.before, self.known, self.held = self.known, {}, 0
         cut = [None if b"\0" in t else self.pieces(t) for t in texts]
         known, before = self.known, self.before
