@@ -30,6 +30,8 @@ from wardledger.llm.shared import as_bytes, fresh_path, shuffle_partitions, tabl
 from wardledger.llm.tokens import BYTE_BPE, Encoder, small_batches
 
 END_ID = 0
+#: Bytes of encoded words in each of the two generations that a writing task keeps.
+REMEMBER = 144 << 20
 MANIFEST = "shard int, name string, width int, docs long, ids long"
 
 
@@ -44,7 +46,7 @@ def _write(folder, tokenizer):
     """A sorted range (doc_id, text) as one shard; returns its manifest row."""
 
     def run(batches):
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, remember=REMEMBER)
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
         system, path = _place(folder)
         shard = TaskContext.get().partitionId()
