@@ -29,6 +29,9 @@ FINANCIAL_MEASURES = {
     "loss_making_hospitals": count_if("net_income < 0"),
 }
 
+#: What ``staging_profile`` reads of a table.
+PROFILE_COLUMNS = ["report_period", "state", "beds_number", "total_expenses", "net_income"]
+
 
 def row_count(df: DataFrame, predicate: Column | None = None) -> DataFrame:
     """One row with the number of rows (that satisfy the predicate)."""

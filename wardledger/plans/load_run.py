@@ -1,6 +1,7 @@
 """A whole load: CSV files to the staging table, its profile, costs and metrics."""
 
 import datetime
+import resource
 import time
 from typing import NamedTuple
 
@@ -9,17 +10,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardledger.functions.dates import BATCH_STAMP
 from wardledger.functions.sizes import MIB, in_unit
 from wardledger.operators import benchmark, cost, generate, metrics, profile, quality, yearly
-from wardledger.schema import PARTITION_COLUMN
 from wardledger.sources import landing, staging
 
-# Fixed value: memory in MB assumed for a client that was not measured.
-CLIENT_MEMORY_MB = 100.0
-
 
 class LoadRun(NamedTuple):
     table: DataFrame
     profile: dict[str, DataFrame]
     results: DataFrame
+    path: str
+
+
+class Client(NamedTuple):
+    """Time of a step as its client saw it, and the most memory the client has taken so far."""
+
+    seconds: float
+    memory_mb: float
+
+
+NO_STEP = Client(0.0, 0.0)
+
+
+def client_since(start: float) -> Client:
+    """The step that began at ``start`` of ``time.perf_counter``."""
+    return Client(time.perf_counter() - start, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
 
 
 def land_sample(
@@ -42,59 +55,78 @@ def land_sample(
 
 
 def load(
-    spark: SparkSession, csv_paths: str, table_path: str, engine: str = "Spark"
+    spark: SparkSession, csv_paths: str, table_path: str, engine: str = "Spark", generated: Client = NO_STEP
 ) -> LoadRun:
     """Load CSV files, and describe the load as one run result.
 
-    The load and one scan for the profile run here; the results are lazy.
+    The load and one scan for the profile run here; the results are lazy. ``generated`` is what
+    the making of the files took, where it was part of the run.
     """
     at = datetime.datetime.now().isoformat(timespec="seconds")
     start = time.perf_counter()
-    table = staging.load_staging(spark, csv_paths, table_path)
-    seconds = time.perf_counter() - start
+    written = staging.write_measured(
+        staging.read_csv(spark, csv_paths), table_path, scanned=profile.PROFILE_COLUMNS
+    )
+    step = client_since(start)
+    table = staging.read_staging(spark, table_path)
     return LoadRun(
         table,
         profile.staging_profile(table),
-        run_results(spark, csv_paths, table_path, table, engine, at, seconds),
+        run_results(spark, csv_paths, table_path, written, engine, at, step, generated),
+        table_path,
     )
 
 
+def generate_and_load(
+    spark: SparkSession, rows: int, landing_path: str, table_path: str, at: datetime.datetime
+) -> LoadRun:
+    """Make sample reports, land them and load them, with the time of each step."""
+    start = time.perf_counter()
+    files = land_sample(spark, rows, landing_path, at)
+    return load(spark, files, table_path, generated=client_since(start))
+
+
 def run_results(
     spark: SparkSession,
     csv_paths: str,
     table_path: str,
-    table: DataFrame,
+    written: staging.Load,
     engine: str,
     at: str,
-    seconds: float,
+    step: Client,
+    generated: Client = NO_STEP,
 ) -> DataFrame:
-    """The result record of a load: sizes from file listings, costs from sizes."""
-    csv_bytes = landing.list_files(spark, csv_paths).agg(F.sum("length")).scalar()
-    days = table.select(PARTITION_COLUMN).distinct().agg(F.count("*")).scalar()
-    sizes = landing.table_storage(spark, table_path, table).select(
+    """The result record of a load: what its write counted, file sizes, and costs from these.
+
+    Processed are the bytes that the profile reads, as loads themselves are not charged for;
+    slot time is that of all cores for as long as the load took.
+    """
+    csv_bytes = F.coalesce(F.sum("length"), F.lit(0)).cast("bigint")
+    stored = landing.list_files(spark, table_path).agg(csv_bytes.alias("b")).scalar()
+    slots = spark.sparkContext.defaultParallelism
+    sizes = landing.list_files(spark, csv_paths).agg(csv_bytes.alias("csv_bytes")).select(
+        "csv_bytes",
         F.lit(engine).alias("run_id"),
-        F.lit(seconds).alias("seconds"),
-        F.lit(CLIENT_MEMORY_MB).alias("memory_mb"),
-        csv_bytes.alias("csv_bytes"),
-        csv_bytes.alias("logical_bytes"),
-        "physical_bytes",
-        F.lit(0).alias("processed_bytes"),
-        F.lit(0).alias("slot_ms"),
-        "num_rows",
-        days.alias("num_partitions"),
+        F.lit(step.seconds).alias("seconds"),
+        F.lit(step.memory_mb).alias("memory_mb"),
+        F.lit(written.logical_bytes).cast("bigint").alias("logical_bytes"),
+        stored.alias("physical_bytes"),
+        F.lit(written.scanned_bytes).cast("bigint").alias("processed_bytes"),
+        F.lit(int(step.seconds * 1000 * slots)).cast("bigint").alias("slot_ms"),
+        F.lit(written.rows).cast("bigint").alias("num_rows"),
+        F.lit(written.periods).cast("bigint").alias("num_partitions"),
     )
-    raw_mb = in_unit(F.col("csv_bytes"), MIB)
     return cost.with_costs(sizes).select(
         F.col("run_id").alias("engine"),
         F.lit(at).alias("timestamp"),
-        F.lit(0.0).alias("data_generation_seconds"),
-        F.lit(CLIENT_MEMORY_MB).alias("data_generation_memory_mb"),
+        F.lit(generated.seconds).alias("data_generation_seconds"),
+        F.lit(generated.memory_mb).alias("data_generation_memory_mb"),
         F.col("seconds").alias("data_load_seconds"),
         F.col("memory_mb").alias("data_load_memory_mb"),
-        raw_mb.alias("raw_csv_mb"),
-        raw_mb.alias("logical_mb"),
+        in_unit(F.col("csv_bytes"), MIB).alias("raw_csv_mb"),
+        in_unit(F.col("logical_bytes"), MIB).alias("logical_mb"),
         in_unit(F.col("physical_bytes"), MIB).alias("physical_mb"),
-        F.try_divide("physical_bytes", "csv_bytes").alias("compression_ratio"),
+        F.coalesce(F.try_divide("physical_bytes", "logical_bytes"), F.lit(0.0)).alias("compression_ratio"),
         "num_rows",
         "num_partitions",
         "total_usd",

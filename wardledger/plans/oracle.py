@@ -69,6 +69,18 @@ def _with(*ctes: str, body: str) -> str:
     return f"WITH {', '.join(ctes)} {body}"
 
 
+# Eleven numbers, dates and day counts of 8 bytes each, and texts with 2 bytes more than they hold.
+ROW_BYTES = " + ".join(
+    [f"CASE WHEN {c} IS NULL THEN 0 ELSE strlen({c}) + 2 END" for c in ("hospital_name", "city", "state")]
+    + [f"CASE WHEN {c} IS NULL THEN 0 ELSE 8 END" for c in ("provider_id", "report_period", "total_expenses", "total_charges", "net_income")]
+    + ["CASE WHEN beds_number IS NULL THEN 0 ELSE 8 * 6 END"]
+)
+PROFILE_BYTES = (
+    "CASE WHEN state IS NULL THEN 0 ELSE strlen(state) + 2 END"
+    + "".join(f" + CASE WHEN {c} IS NULL THEN 0 ELSE 8 END" for c in ("report_period", "beds_number", "total_expenses", "net_income"))
+)
+
+
 def _stg(body: str) -> str:
     return _with(STG, body=body)
 
@@ -704,6 +716,37 @@ def oracle() -> dict[str, str]:
             "SELECT report_period, COUNT(*) AS rows, TRUE AS all_sized, TRUE AS paths_distinct "
             "FROM stg GROUP BY report_period"
         ),
+        "table_storage": _stg(
+            "SELECT COUNT(*) AS num_rows, COUNT(DISTINCT report_period) AS num_partitions, "
+            f"SUM({ROW_BYTES})::BIGINT AS logical_bytes, SUM({ROW_BYTES})::BIGINT / 1048576.0::DOUBLE AS logical_mb, "
+            "TRUE AS files_in_each_partition, TRUE AS sized, TRUE AS ratio_of_both FROM stg"
+        ),
+        "load_measures": _stg(
+            "SELECT COUNT(*) AS rows, COUNT(DISTINCT report_period) AS periods, "
+            f"SUM({ROW_BYTES})::BIGINT AS logical_bytes, SUM({PROFILE_BYTES})::BIGINT AS scanned_bytes, "
+            "SUM((provider_id IS NULL)::INT + (report_period IS NULL)::INT + (total_expenses IS NULL)::INT "
+            "+ (total_charges IS NULL)::INT + (net_income IS NULL)::INT + (beds_number IS NULL)::INT)::BIGINT "
+            "AS null_values FROM stg"
+        ),
+        "scan_reduction_measured": _stg(
+            "SELECT total_rows, kept_rows, total_rows AS total_rows_read, kept_rows AS kept_rows_read, total_partitions, "
+            "kept_partitions, TRUE AS fewer_files, TRUE AS fewer_bytes, TRUE AS bytes_saved FROM ("
+            f"SELECT COUNT(*) AS total_rows, COUNT(CASE WHEN year(report_period) = {YEAR} THEN 1 END) AS kept_rows, "
+            "COUNT(DISTINCT report_period) AS total_partitions, "
+            f"COUNT(DISTINCT CASE WHEN year(report_period) = {YEAR} THEN report_period END) AS kept_partitions "
+            "FROM stg)"
+        ),
+        "load_reconciliation_cells": _stg(
+            "SELECT COUNT(*) AS source_rows, "
+            "SUM(CASE WHEN hit AND p % 7 = 0 THEN 0 WHEN hit AND p % 5 = 0 THEN 2 ELSE 1 END)::BIGINT AS target_rows, "
+            "SUM(CASE WHEN hit AND (p % 7 = 0 OR p % 11 = 0) THEN 1 ELSE 0 END)::BIGINT AS missing, "
+            "SUM(CASE WHEN NOT hit OR p % 7 = 0 THEN 0 WHEN p % 11 = 0 AND p % 5 = 0 THEN 2 "
+            "WHEN p % 11 = 0 OR p % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS extra, "
+            "COUNT(DISTINCT (report_period, id_range)) AS cells, "
+            "COUNT(DISTINCT CASE WHEN hit AND (p % 7 = 0 OR p % 11 = 0 OR p % 5 = 0) THEN (report_period, id_range) END) "
+            "AS cells_differing FROM (SELECT *, id_range % 10 = 3 AND year(report_period) = "
+            f"{YEAR} AS hit FROM (SELECT report_period, provider_id AS p, provider_id // 64 AS id_range FROM stg))"
+        ),
         "yearly_summary_sample": _with(
             STG, _summary(),
             body="SELECT LEAST(10, COUNT(*)) AS rows, LEAST(10, COUNT(*)) AS rows_in_summary FROM yearly_summary",

@@ -19,7 +19,7 @@ from wardledger.operators import (
 )
 from wardledger.plans import bindings
 from wardledger.session import fresh_path, materialise
-from wardledger.sources import landing, staging, versions
+from wardledger.sources import landing, scans, staging, versions
 
 YEAR = 1997
 ID_RANGE = (100020, 100040)
@@ -195,6 +195,43 @@ def _scan_reduction(stg: DataFrame) -> DataFrame:
     return profile.scan_reduction(stg, dates.year_equals(F.col("report_period"), YEAR))
 
 
+def _table_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staging table as a whole; its files are compared by what is fixed about them."""
+    found = landing.table_storage(spark, bindings.staging_path(spark, sf_dir), bindings.staging(spark, sf_dir))
+    ratio = F.col("physical_bytes") / F.col("logical_bytes")
+    return found.select(
+        "num_rows", "num_partitions", "logical_bytes", "logical_mb",
+        (F.col("files") >= F.col("num_partitions")).alias("files_in_each_partition"),
+        (F.col("physical_bytes") > 0).alias("sized"),
+        (F.col("compression_ratio") == ratio).alias("ratio_of_both"),
+    )
+
+
+def _load_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a load counts while it writes the cost reports from their files."""
+    files = staging.read_csv(spark, bindings.external_files(spark, sf_dir))
+    load = staging.write_measured(files, fresh_path(spark, "measured"), scanned=profile.PROFILE_COLUMNS)
+    values = {
+        "rows": load.rows,
+        "periods": load.periods,
+        "logical_bytes": load.logical_bytes,
+        "scanned_bytes": load.scanned_bytes,
+        "null_values": sum(load.null_values.values()),
+    }
+    return spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in values.items()])
+
+
+def _scan_reduction_measured(stg: DataFrame) -> DataFrame:
+    """What a year's filter saves; files and bytes are compared by what is fixed about them."""
+    found = scans.scan_reduction(stg, dates.year_equals(F.col("report_period"), YEAR))
+    return found.select(
+        "total_rows", "kept_rows", "total_rows_read", "kept_rows_read", "total_partitions", "kept_partitions",
+        (F.col("kept_files") < F.col("total_files")).alias("fewer_files"),
+        (F.col("kept_bytes") < F.col("total_bytes")).alias("fewer_bytes"),
+        (F.col("bytes_saved_pct") > 0).alias("bytes_saved"),
+    )
+
+
 # Quality
 
 def _quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,6 +260,18 @@ def _load_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.load_reconciliation(files, damaged)
 
 
+def _load_reconciliation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files against a load that is damaged in every tenth range of ids of one year."""
+    files = _all_columns(staging.read_csv(spark, bindings.external_files(spark, sf_dir)))
+    loaded = _all_columns(bindings.staging(spark, sf_dir))
+    provider = F.col("provider_id")
+    hit = dates.year_equals(F.col("report_period"), YEAR) & (F.floor(provider / 64) % 10 == 3)
+    kept = loaded.filter(~(hit & (provider % 7 == 0)))
+    changed = F.when(hit & (provider % 11 == 0), F.col("discharges") + 1).otherwise(F.col("discharges"))
+    damaged = kept.unionByName(kept.filter(hit & (provider % 5 == 0))).withColumn("discharges", changed)
+    return quality.reconcile_cells(files, damaged)
+
+
 def _synthetic_hospitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = bindings.table(spark, sf_dir, "customer")
     return generate.generate(customers.select(F.col("c_custkey").alias("id")))
@@ -458,11 +507,15 @@ QUERIES: dict[str, Query] = {
     "latest_batch": _latest_batch,
     "partition_counts": _partition_counts,
     "scan_reduction": _stg(_scan_reduction),
+    "scan_reduction_measured": _stg(_scan_reduction_measured),
     "storage_metrics": _storage_metrics,
+    "table_storage": _table_storage,
+    "load_measures": _load_measures,
     # quality and generation
     "dq_report": _quality_report,
     "required_violations": _required_violations,
     "load_reconciliation": _load_reconciliation,
+    "load_reconciliation_cells": _load_reconciliation_cells,
     "synthetic_hospitals": _synthetic_hospitals,
     # scalar functions
     "hospital_display_name": _stg(_display_name),

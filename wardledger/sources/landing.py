@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wardledger.functions.dates import BATCH_STAMP
-from wardledger.functions.sizes import MIB, in_unit
-from wardledger.schema import NATIVE_SCHEMA
+from wardledger.functions.sizes import MIB, in_unit, logical_bytes
+from wardledger.schema import NATIVE_SCHEMA, PARTITION_COLUMN
 
 # Any name that begins like this, up to its extension; the last stamp in it counts, as a
 # batch that is uploaded again gets a second one.
@@ -90,14 +90,31 @@ def storage_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_storage(spark: SparkSession, path: str, table: DataFrame) -> DataFrame:
-    """Bytes, files and rows of a table, as one row."""
+    """Files, rows, date partitions, logical and stored bytes of a table, as one row.
+
+    The rows are read once, as texts count by their length; partial sums by date leave a task.
+    The ratio of an empty table is 0.
+    """
+    per_day = table.groupBy(PARTITION_COLUMN).agg(
+        F.count("*").alias("n"), F.sum(logical_bytes(table.schema)).alias("bytes")
+    )
+    none = F.lit(0).cast("bigint")
+    totals = per_day.agg(
+        F.coalesce(F.sum("n"), none).alias("num_rows"),
+        F.count("*").alias("num_partitions"),
+        F.coalesce(F.sum("bytes"), none).alias("logical_bytes"),
+    )
     size = list_files(spark, path).agg(
-        F.sum("length").alias("physical_bytes"), F.count("*").alias("files")
+        F.struct(F.coalesce(F.sum("length"), none).alias("bytes"), F.count("*").alias("files"))
     )
-    rows = table.agg(F.count("*")).scalar()
-    return size.select(
-        "files",
-        rows.alias("num_rows"),
-        "physical_bytes",
-        in_unit(F.col("physical_bytes"), MIB).alias("physical_mb"),
+    physical = F.col("stored.bytes")
+    return totals.select("*", size.scalar().alias("stored")).select(
+        F.col("stored.files").alias("files"),
+        "num_rows",
+        "num_partitions",
+        "logical_bytes",
+        physical.alias("physical_bytes"),
+        in_unit(F.col("logical_bytes"), MIB).alias("logical_mb"),
+        in_unit(physical, MIB).alias("physical_mb"),
+        F.coalesce(F.try_divide(physical, F.col("logical_bytes")), F.lit(0.0)).alias("compression_ratio"),
     )

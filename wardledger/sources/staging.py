@@ -1,7 +1,10 @@
 """CSV sources and the date-partitioned, provider-sorted staging table."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from typing import NamedTuple
 
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+
+from wardledger.functions.sizes import logical_bytes
 from wardledger.operators.quality import enforce_required
 from wardledger.schema import (
     CLUSTER_COLUMN,
@@ -9,6 +12,7 @@ from wardledger.schema import (
     NATIVE_NAMES,
     NATIVE_SCHEMA,
     PARTITION_COLUMN,
+    REQUIRED_COLUMNS,
 )
 from wardledger.sources import versions
 
@@ -43,18 +47,33 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def clustered(df: DataFrame) -> DataFrame:
+class Load(NamedTuple):
+    """What a load wrote, counted while it was written."""
+
+    rows: int
+    logical_bytes: int
+    scanned_bytes: int
+    periods: int
+    null_values: dict[str, int]
+
+
+def clustered(df: DataFrame, seen: tuple[Observation, list] | None = None) -> DataFrame:
     """Lay rows out for a table partitioned by date and clustered by provider.
 
     Tasks take ranges of (date, provider): the files of a date that is split over
     tasks hold ids that do not overlap, so a range of ids opens few of them. A hash
     of the row ends the key and splits a provider of any size. Adaptive execution
     joins small ranges that are neighbours.
+
+    With ``seen``, an observation and its measures, rows are counted on their way from the
+    shuffle to the sort: after the shuffle, so that the sampling of the ranges does not count
+    them a second time, and before the sort, so that the files keep its order.
     """
     row = F.xxhash64(*[F.col(name) for name in df.columns])
-    return df.repartitionByRange(PARTITION_COLUMN, CLUSTER_COLUMN, row).sortWithinPartitions(
-        PARTITION_COLUMN, CLUSTER_COLUMN
-    )
+    dealt = df.repartitionByRange(PARTITION_COLUMN, CLUSTER_COLUMN, row)
+    if seen is not None:
+        dealt = dealt.observe(seen[0], *seen[1])
+    return dealt.sortWithinPartitions(PARTITION_COLUMN, CLUSTER_COLUMN)
 
 
 def write_staging(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -62,6 +81,33 @@ def write_staging(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     clustered(enforce_required(df)).write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path)
 
 
+def write_measured(
+    df: DataFrame, path: str, mode: str = "overwrite", scanned: list[str] | None = None
+) -> Load:
+    """``write_staging``, and what it wrote; the counts ride on the write and need no scan.
+
+    ``scanned`` are the columns that a reader of the load is to be charged for, all by default.
+    The dates of the table are held by the driver, one value for each partition folder.
+    """
+    required = [c for c in REQUIRED_COLUMNS if c in df.columns]
+    none = F.lit(0).cast("bigint")
+    measures = [
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum(logical_bytes(df.schema)), none).alias("logical_bytes"),
+        F.coalesce(F.sum(logical_bytes(df.schema, scanned)), none).alias("scanned_bytes"),
+        F.collect_set(F.coalesce(F.col(PARTITION_COLUMN).cast("string"), F.lit(""))).alias("periods"),
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in required],
+    ]
+    seen = Observation()
+    written = clustered(enforce_required(df), (seen, measures))
+    written.write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path)
+    found = seen.get
+    return Load(
+        found["rows"], found["logical_bytes"], found["scanned_bytes"], len(found["periods"]),
+        {c: found[f"null_{c}"] for c in required},
+    )
+
+
 def read_staging(
     spark: SparkSession, path: str, schema: T.StructType = NATIVE_SCHEMA
 ) -> DataFrame:
