@@ -50,3 +50,40 @@ def test_each_window_meets_every_similar_item():
         want += [(k, start, size, a) for k, a in alike if a >= decontaminate.SIMILARITY]
     got = [(k, start, size, alike) for k, start, size, _, alike in index.spans(document)]
     assert got == want and len(got) > 40
+
+
+def test_the_multi_index_finds_what_lies_within_the_radius():
+    """Without the part beyond the radius just the pairs beyond it are lost, 1 % at most."""
+    pairs = list(cases(600))
+    index = decontaminate.Index([(i, t.encode()) for i, (t, _, _) in enumerate(pairs)])
+    found = set()
+    for i, (_, other, _) in enumerate(pairs):
+        found |= {(i, s[0]) for s in index.spans(decontaminate._hashes(words(other.encode())), beyond=False)}
+    assert found == {(i, i) for i, (_, _, distance) in enumerate(pairs) if distance <= decontaminate.RADIUS}
+    assert len(found) >= 0.98 * len(pairs)
+
+
+def test_the_multi_index_is_needed(monkeypatch):
+    text = prose(random.Random(3), 80)
+    index = decontaminate.Index([(5, text.encode())])
+    document = decontaminate._hashes(words(f"before it {text} and after".encode()))
+    assert [s[0] for s in index.spans(document)] == [5]
+    index.multi = {}
+    assert not list(index.spans(document))
+
+
+def test_slices_of_items_are_passes_of_their_own(spark, documents, monkeypatch):
+    texts = [prose(random.Random(s), 40) for s in range(8)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = documents([(i, f"start {texts[i]} {texts[(i + 3) % 8]}") for i in range(8)] + [(9, None), (10, "clean text")])
+    whole = decontaminate.judge_documents(docs, items).orderBy("doc_id").collect()
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", 90)
+    sliced = decontaminate.judge_documents(docs, items)
+    assert sliced._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sliced.orderBy("doc_id").collect() == whole
+    assert [r["item_ids"] for r in whole] == [sorted({i, (i + 3) % 8}) for i in range(8)] + [[], []]
+
+
+def test_no_documents(spark, documents):
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    assert decontaminate.judge_documents(documents([]), items).count() == 0

@@ -7,21 +7,23 @@ for each block finds every item within the radius (a multi-index; the Hamming di
 then checked). Candidates are verified by the exact weighted Jaccard similarity of the
 shingles, 0.8 or more.
 
-The radius alone would lose some of them: 16 bits of 64 are the angle of a cosine of 0.71,
-while windows of similarity 0.8 have a cosine of 0.89 or 9.7 bits on average, but a few in a
-thousand are farther. Every window is therefore also verified with each item that has one of
-its rare shingles: a window of weight T and an item of similarity 0.8 share a weight of 0.8 T,
-so of any shingles that weigh more than 0.2 T together they have one in common. This loses
-nothing, and a window of which no item can share 0.8 T is left out before it is fingerprinted.
+The multi-index finds every pair within the radius. The radius alone would lose some of
+similarity 0.8: 16 bits of 64 are the angle of a cosine of 0.71, while windows of similarity 0.8
+have a cosine of 0.89 or 9.7 bits on average, but a few in a thousand are farther. After the
+multi-index a window is therefore also verified with the items *beyond* the radius that have one
+of its rare shingles: a window of weight T and an item of similarity 0.8 share a weight of 0.8 T,
+so of any shingles that weigh more than 0.2 T together they have one in common. Both parts
+together lose nothing, and no pair belongs to both. ``beyond=False`` leaves the second part out.
 
 Windows are only built where they can pass: a similarity of 0.8 needs a common shingle, so a
 window starts where a shingle of the document stands in an item of its size, at the place
 that aligns both. That is one membership test for each word and loses nothing; every other
 window would fail the exact test.
 
-The index of the items is the only thing every task holds. It is built from slices of at
-most ``MAX_ITEM_WORDS`` words; a larger benchmark takes one pass over the documents for each
-slice. Documents are never shuffled, however common a passage is.
+The index of the items is the only thing every task holds. It is built from slices of items of
+about ``MAX_INDEX_BYTES``; a larger benchmark takes one pass over the documents for each slice,
+and what a pass found is written before the next begins, so that a task holds one index at a
+time. A single item is not cut. Documents are never shuffled, however common a passage is.
 
 Defined results: NULL texts are empty; items or documents without words match nothing; an
 item of fewer than five words is one shingle, its whole sequence, and is found at any place;
@@ -39,12 +41,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardledger.llm.jaccard import FACTOR, SHINGLE
-from wardledger.llm.shared import Remembered, as_bytes, mix, table, words
+from wardledger.llm.shared import Remembered, as_bytes, mix, table, words, write_table
 
 RADIUS = 16
 SIMILARITY = 0.8
 BITS = 64
-MAX_ITEM_WORDS = 2_000_000
+#: Bytes of an index in one process, and what a word of an item takes there: 620 were measured
+#: for 200,000 different words.
+MAX_INDEX_BYTES = 256 << 20
+BYTES_A_WORD = 640
+MAX_ITEM_WORDS = MAX_INDEX_BYTES // BYTES_A_WORD
 #: Bit positions of each block of the multi-index.
 BLOCKS = np.array_split(np.arange(BITS, dtype=np.uint64), RADIUS + 1)
 
@@ -145,19 +151,25 @@ class Index:
                     found.add((start, length))
         return sorted(found)
 
-    def spans(self, hashes: np.ndarray):
+    def far(self, fingerprint: int, weights: Counter):
+        """Items beyond the radius that can be similar all the same, with their distance."""
+        for k in self.sharing(weights):
+            distance = (self.prints[k] ^ fingerprint).bit_count()
+            if distance > RADIUS:
+                yield k, distance
+
+    def spans(self, hashes: np.ndarray, beyond: bool = True):
         """(item_id, start, size, distance, similarity) of the passages in a document."""
         for start, size in self.windows(hashes):
             weights = _weights(hashes[start : start + size])
-            sharing = self.sharing(weights)
-            if not sharing:
-                continue
             fingerprint = simhash(weights)
             found = dict(self.near(fingerprint))
-            for k in sorted(sharing | found.keys()):
+            if beyond:
+                found.update(self.far(fingerprint, weights))
+            for k, distance in sorted(found.items()):
                 alike = similarity(weights, self.weights[k])
                 if alike >= SIMILARITY:
-                    yield self.ids[k], start, size, found.get(k, (self.prints[k] ^ fingerprint).bit_count()), alike
+                    yield self.ids[k], start, size, distance, alike
 
 
 _known = Remembered(xxhash.xxh3_64_intdigest)
@@ -210,6 +222,9 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, columns: list[str]) ->
         kept = [f for f in out.schema.fields if f.name != "__spans" and not (last and f.name == "__text")]
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
         out = out.mapInArrow(_judge(index, last), f"{fields}, __spans {SPAN}")
+        if not last:
+            out, _ = write_table(out, "contaminated")
+            index.unpersist()
     return out.select(*columns, F.col("__spans").alias("spans"))
 
 
