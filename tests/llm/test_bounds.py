@@ -3,7 +3,7 @@
 import random
 
 from tests.llm.test_operators import prose
-from wardledger.llm import exact, quality, tokens
+from wardledger.llm import binary, exact, quality, shared, tokens
 from wardledger.llm.shared import Remembered
 
 
@@ -45,3 +45,17 @@ def test_columns_named_like_ours_are_kept(spark):
         "doc_id long, text string, __id string, __DIGEST string, __copy int",
     )
     assert sorted(map(tuple, exact.drop_exact_duplicates(docs).collect())) == [(2, "a B", "y", "q", 8), (3, None, "z", "r", 9)]
+
+
+def test_folders_without_a_scheme_are_those_of_the_default_file_system(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    assert shared.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    assert shared.qualified(spark, f"file://{tmp_path}") in (f"file:{tmp_path}", f"file://{tmp_path}")
+    conf.set("fs.defaultFS", "viewfs://shared/")
+    conf.set("fs.viewfs.mounttable.shared.link./folder", f"file://{tmp_path}")
+    try:
+        assert shared.qualified(spark, "/folder") == "viewfs://shared/folder"
+    finally:
+        conf.set("fs.defaultFS", before or "file:///")
+    assert binary._place(f"file:{tmp_path}")[1] == binary._place(f"file://{tmp_path}")[1] == str(tmp_path)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardledger.llm.shared import as_bytes, fresh_path, shuffle_partitions, table
+from wardledger.llm.shared import as_bytes, fresh_path, qualified, shuffle_partitions, table
 from wardledger.llm.tokens import BYTE_BPE, Encoder, small_batches
 
 END_ID = 0
@@ -36,10 +36,11 @@ MANIFEST = "shard int, name string, width int, docs long, ids long"
 
 
 def _place(folder: str):
+    """File system and path of a qualified folder."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-    return system, path
+    local = folder.startswith("file:") and not folder.startswith("file://")
+    return fs.FileSystem.from_uri(folder.replace("file:", "file://", 1) if local else folder)
 
 
 def _write(folder, tokenizer):
@@ -89,6 +90,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = BYTE_BPE) -> Dat
     The manifest, one row for each shard, is a table in ``folder``/manifest.
     """
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     text = F.coalesce("text", F.lit(""))
     parts = (
         docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie"))
@@ -146,6 +148,7 @@ def _read(folder):
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, read from the files."""
     n = max(1, manifest.count())
+    folder = qualified(manifest.sparkSession, folder)
     return manifest.repartitionByRange(n, "shard").mapInArrow(
         _read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )

@@ -103,6 +103,17 @@ def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host that Spark itself would give it.
+
+    A path without a scheme lies in the default file system, which tasks that open files by
+    themselves would take for the local one.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(place).toString()
+
+
 def drop_tables(spark: SparkSession, *paths: str) -> None:
     """Delete written tables whose readers have finished, and free their shuffles.
 
