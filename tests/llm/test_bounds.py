@@ -1,6 +1,7 @@
 """Bounds of what workers remember, repeated ids, and clashing names."""
 
 import random
+import zlib
 
 from tests.llm.test_operators import prose
 from wardledger.llm import binary, exact, quality, shared, tokens
@@ -59,3 +60,23 @@ def test_folders_without_a_scheme_are_those_of_the_default_file_system(spark, tm
     finally:
         conf.set("fs.defaultFS", before or "file:///")
     assert binary._place(f"file:{tmp_path}")[1] == binary._place(f"file://{tmp_path}")[1] == str(tmp_path)
+
+
+def test_shards_are_read_in_blocks_of_any_size(spark, documents, monkeypatch, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.choice([0, 1, 30, 300]))) for i in range(60)] + [(None, "no id"), (70, None)]
+    manifest = binary.write_shards(documents(rows), str(tmp_path))
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    whole = binary.read_shards(manifest, str(tmp_path)).select(columns).orderBy("start").collect()
+    encoder = tokens.Encoder.of(binary.BYTE_BPE)
+    own = {i: encoder.ids([(t or "").encode()])[0] + binary.END for i, t in rows}
+    assert [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in whole] == [
+        (i, len(own[i]) // 4, zlib.crc32(own[i])) for i in sorted(own, key=lambda i: -1 if i is None else i)
+    ]
+    assert [r["start"] for r in whole] == [sum(r["n_tokens"] for r in whole[:k]) for k in range(len(whole))]
+    for most_ids, most_docs in ((1, 4096), (100, 4096), (1 << 20, 7)):
+        monkeypatch.setattr(binary, "READ_IDS", most_ids)
+        monkeypatch.setattr(binary, "READ_DOCS", most_docs)
+        blocks = binary._read(f"file://{tmp_path}")([r for r in manifest.toArrow().to_batches()])
+        got = [tuple(r.values()) for b in blocks for r in b.to_pylist()]
+        assert sorted(got, key=lambda r: r[1]) == [tuple(r) for r in whole]

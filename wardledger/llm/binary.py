@@ -30,6 +30,10 @@ from wardledger.llm.shared import as_bytes, fresh_path, qualified, shuffle_parti
 from wardledger.llm.tokens import BYTE_BPE, Encoder, small_batches
 
 END_ID = 0
+END = END_ID.to_bytes(4, "little")
+#: Ids that a reader widens at once, unless one document has more.
+READ_IDS = 1 << 20
+READ_DOCS = 4096
 #: Bytes of encoded words in each of the two generations that a writing task keeps.
 REMEMBER = 144 << 20
 MANIFEST = "shard int, name string, width int, docs long, ids long"
@@ -58,10 +62,10 @@ def _write(folder, tokenizer):
                 if out is None:
                     system.create_dir(path, recursive=True)
                     out = system.open_output_stream(f"{path}/{name}.bin")
-                for ids in encoder.ids(as_bytes(part.column(1))):
-                    own = np.frombuffer(ids + END_ID.to_bytes(4, "little"), "<u4")
-                    out.write(own.astype(f"<u{width}").tobytes())
-                    lengths.append(len(own))
+                own = encoder.ids(as_bytes(part.column(1)))
+                joined = END.join([*own, b""])  # the end id stands after each document
+                out.write(np.frombuffer(joined, "<u4").astype(f"<u{width}"))
+                lengths.extend(len(ids) // 4 + 1 for ids in own)
                 ids_of_docs.append(part.column(0))
         if out is None:
             return
@@ -127,11 +131,13 @@ def _read(folder):
                 offsets = _map(system, f"{path}/{r['name']}.idx", "<u8").astype(np.int64)
                 raw = _map(system, f"{path}/{r['name']}.ids", "u1")
                 valid, names = raw[: r["docs"]].astype(bool), raw[r["docs"] :].view("<i8")
-                for at in range(0, r["docs"], 4096):
-                    to = min(at + 4096, r["docs"])
-                    sums = [
-                        zlib.crc32(ids[offsets[i] : offsets[i + 1]].astype("<u4").tobytes()) for i in range(at, to)
-                    ]
+                at = 0
+                while at < r["docs"]:
+                    to = int(np.searchsorted(offsets, offsets[at] + READ_IDS, "right")) - 1
+                    to = min(max(to, at + 1), at + READ_DOCS, r["docs"])
+                    wide = memoryview(ids[offsets[at] : offsets[to]].astype("<u4")).cast("B")
+                    ends = ((offsets[at : to + 1] - offsets[at]) * 4).tolist()
+                    sums = [zlib.crc32(wide[a:b]) for a, b in zip(ends, ends[1:])]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(names[at:to], pa.int64(), mask=~valid[at:to]),
@@ -141,6 +147,7 @@ def _read(folder):
                         ],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
+                    at = to
 
     return run
 
