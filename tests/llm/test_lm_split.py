@@ -27,23 +27,25 @@ def test_probabilities_of_a_split_context_add_up_to_one():
     hot = {U: (customers, 500.0)}
     left = np.full((lm.SAMPLES, 60), 1.0, "<f4")
     parts = [
-        {**r, **{k: shared.pack(shared.unpack(r[k])[3:]) for k in ("u", "w", "c")}, "left": left.tobytes()} for r in made
+        {**r, **{k: shared.pack(shared.unpack(r[k])[3:]) for k in ("u", "w", "c")}, "left": left.tobytes(), "tables": []}
+        for r in made
     ]
     theta, d, shares = 2.0, 0.5, [0.5] * lm.SAMPLES
-    p, totals = 1.5 / 180, []
-    buckets = [lm._Bucket(r, hot) for r in made]
+    p = 1.5 / 180
     for k in range(len(lm.SWEEPS)):
-        out = list(lm._hot_tables(hot, theta, d, 180.0, shares, list(totals))([pa.RecordBatch.from_pylist(parts)]))
-        assert [b.column("hot").to_pylist() for b in out] == [[U], [U]]
-        totals.append({U: sum(b.column("tables")[0].as_py() for b in out)})
-        mass = 0.0
-        for number, b in enumerate(buckets):
-            lm._sweep_split(b, number, k, np.full(63, p), theta, d)
-            b.share(totals[k])
-            mass += b.predict(np.full(63, p), theta, d)[b.split].sum()
-        assert totals[k][U] == sum(b.t[b.split].sum() for b in buckets)
+        batch = pa.RecordBatch.from_pylist(parts)
+        out = [b.to_pylist()[0] for b in lm._split_sweep(hot, k, theta, d, 180.0, shares)([batch])]
+        assert [r["names"] for r in out] == [[U], [U]]
+        assert [len(r["tables"]) for r in out] == [k + 1, k + 1]
+        total = sum(r["totals"][0] for r in out)
+        hot, parts, mass = {U: (customers, total)}, out, 0.0
+        for row, r in zip(out, made):
+            bucket = lm._Bucket(r, hot)
+            bucket.t[bucket.split] = shared.unpack(row["tables"][k])
+            assert (bucket.t[bucket.split] <= np.maximum(bucket.c[bucket.split], 0)).all()
+            mass += bucket.predict(np.full(63, p), theta, d)[bucket.split].sum()
         rest = 1 - 120 * p  # words that never follow the context
-        assert mass + rest * (theta + d * totals[k][U]) / (theta + customers) == pytest.approx(1.0)
+        assert mass + rest * (theta + d * total) / (theta + customers) == pytest.approx(1.0)
 
 
 def test_split_context_counts_once_in_the_concentration():

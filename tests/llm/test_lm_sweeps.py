@@ -31,7 +31,7 @@ def test_the_first_sweep_of_the_leaves_is_not_averaged():
     row = {**seats, "pieces": [piece]}
     left = pa.Table.from_pylist([row])
     samples = np.random.default_rng(2).random((lm.SAMPLES, 30)).astype("<f4")
-    right = pa.table({"parent": [0], "left": [samples.tobytes()]})
+    right = pa.table({"parent": [0], "left": [samples.tobytes()], "tables": pa.array([None], pa.list_(pa.binary()))})
     theta, d, customers, shares = 2.0, 0.5, 31.0, [0.1] * lm.SAMPLES
     out = lm._scores(1, {}, theta, d, customers, shares, [{}] * len(lm.SWEEPS))(left, right)
     bucket, rng, mean = lm._Bucket(seats, {}), np.random.default_rng([3, 0]), 0.0
@@ -39,5 +39,5 @@ def test_the_first_sweep_of_the_leaves_is_not_averaged():
         p = (samples[s].astype(float) + shares[s]) / customers
         bucket.sweep(rng, p, theta, d)
         mean = mean + bucket.predict(p, theta, d) if k else 0.0
-    got = np.frombuffer(out.column("part")[0].as_py(), "<f4")
-    assert got == pytest.approx(np.log10(mean / lm.SAMPLES), rel=1e-5)
+    got = shared.unpack(out.column("part")[0].as_py()) / -lm.UNIT
+    assert got == pytest.approx(np.log10(mean / lm.SAMPLES), abs=1e-7)

@@ -19,13 +19,15 @@ Work is dealt out in packed pieces, never by token:
 4. Buckets re-seat given the parent's samples, average the predictive probability over
    them and return one partial log score for each document of a block.
 
-Seating: given all else, only the number of tables t of a dish matters. All customers
-of a dish are seated anew one by one (the block Gibbs step); as the normaliser of that
-draw depends on the path, it is corrected by Metropolis-Hastings. Dishes of one sweep
+Seating: given all else, only the number of tables t of a dish matters. It is drawn anew
+for all customers of a dish at once (the block Gibbs step): from its exact distribution, which
+counts the ways to seat them, up to ``EXACT`` customers; beyond, from that distribution at the saddle
+points of its generating function. Large dishes that expect fewer than ``MANY`` tables, where those
+are rough, seat customers in runs of an eighth of those present, and Metropolis-Hastings corrects
+the chances of that draw. The steps of a dish grow with the logarithm of its size at most. Dishes of one sweep
 see the table totals of the sweep before; the parent's are summed over its buckets
 between sweeps. ``SAMPLES`` samples are averaged, after one sweep of the parent and one of
-the leaves that only leave the start behind. From the 64th customer of a dish on, the
-waiting time to the next new table is drawn at once instead of customer by customer.
+the leaves that only leave the start behind.
 
 Discounts come from the counts of counts, the leaf concentration is drawn from its
 posterior on a grid. Draws are seeded by bucket, so a task run again agrees with itself.
@@ -57,8 +59,11 @@ from wardledger.llm.shared import (
 )
 
 SAMPLES = 2
-DRAWS = 2
-ONE_BY_ONE = 64
+DRAWS = 4
+EXACT = 64
+RUN = 8
+MANY = 8
+POINTS = 65
 THETAS = tuple(0.25 * 2.0**k for k in range(12))
 RESULT = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
@@ -260,47 +265,163 @@ def _log_rise(x, m):
     return g(x + m) - g(x)
 
 
-def _seat(rng, c, others, p, d):
-    """Seat the c >= 1 customers of each dish in turn: tables, and log of the normalisers."""
+def _log_ways(d):
+    """Row c: log of the ways to seat c customers at 1, 2, ... tables, up to ``EXACT`` customers."""
+    ways = np.full((EXACT + 1, EXACT), -np.inf)
+    ways[1, 0] = 0.0
+    tables = np.arange(1, EXACT + 1)
+    for n in range(1, EXACT):
+        ways[n + 1] = ways[n] + np.log(np.maximum(n - d * tables, 1e-300))
+        ways[n + 1, 1:] = np.logaddexp(ways[n + 1, 1:], ways[n, :-1])
+    return ways
+
+
+def _seat_few(rng, c, others, p, d):
+    """Tables of dishes of at most ``EXACT`` customers, from their exact distribution."""
+    t = np.ones(len(c))
+    ways = _log_ways(d)
+    order = np.argsort(c, kind="stable")
+    ends = np.searchsorted(c[order], np.arange(EXACT + 1), side="right")
+    for size in range(2, EXACT + 1):
+        for i in range(ends[size - 1], ends[size], 4096):
+            at = order[i : min(i + 4096, ends[size])]
+            logs = np.zeros((len(at), size))
+            np.cumsum(np.log((others[at, None] + d * np.arange(1, size)) * p[at, None]), axis=1, out=logs[:, 1:])
+            logs += ways[size, :size]
+            logs -= logs.max(axis=1, keepdims=True)
+            sums = np.cumsum(np.exp(logs), axis=1)
+            t[at] += (sums < (rng.random(len(at)) * sums[:, -1])[:, None]).sum(axis=1)
+    return t
+
+
+def _expected(c, rate, d):
+    """About how many tables c customers take that open new ones at ``rate``."""
+    return np.minimum(rate / d * -np.expm1(-d * np.log1p(c / np.maximum(rate, 1e-300))), c)
+
+
+def _seat_many(rng, c, others, p, d):
+    """Seat the customers of each dish run by run: tables, and log weight of the draw.
+
+    A run is an eighth of those present (one customer at first) and opens tables with the
+    chance in its middle. A table opened now lowers all later normalisers by d (1 - p); the
+    chance takes that in, as if they grew evenly to the last, so that draws come close to the
+    wanted distribution. The weight is the
+    probability of a seating over that of drawing it, up to a constant.
+    """
     t = np.ones(len(c))
     weight = np.zeros(len(c))
-    live = np.flatnonzero(c > 1)
-    for n in range(1, ONE_BY_ONE):
-        if not len(live):
-            return t, weight
-        new = (others[live] + d * t[live]) * p[live]
-        z = new + n - d * t[live]
-        weight[live] += np.log(z)
-        t[live] += rng.random(len(live)) * z < new
-        live = live[c[live] > n + 1]
-    at = np.full(len(live), float(ONE_BY_ONE))
+    rate = others * p
+    last = rate + c - d * (1 - p) * _expected(c, rate, d)  # the normaliser of the last customer
+    live, n = np.arange(len(c)), 1
     while len(live):
-        new = np.maximum((others[live] + d * t[live]) * p[live], 1e-300)
-        stay = at - d * t[live]
-        with np.errstate(over="ignore"):
-            wait = np.floor(stay * np.expm1(-np.log(rng.random(len(live))) / new))
-        left = c[live] - at
-        opens = wait < left
-        seated = np.where(opens, wait + 1, left)
-        weight[live] += _log_rise(new + stay, seated)
-        t[live] += opens
-        at = at + seated
-        more = at < c[live]
-        live, at = live[more], at[more]
+        step = max(n // RUN, 1)
+        m = np.minimum(step, c[live] - n)
+        before, rest, base = t[live], others[live], p[live]
+
+        def at(tables):
+            """Weights of a new table and of all old ones for the customer in the middle."""
+            return np.maximum((rest + d * tables) * base, 1e-300), np.maximum(n + (m - 1) / 2 - d * tables, 1e-9)
+
+        def chance(tables):
+            new, stay = at(tables)
+            z = new + stay
+            slope = np.clip((last[live] - z) / np.maximum(c[live] - n, 1), 1 - d, 1.0)
+            new = new * np.minimum(z / last[live], 1.0) ** (d * (1 - base) / slope)
+            return new / (new + stay)
+
+        opens = chance(before + (m - 1) / 2 * chance(before))
+        opened = rng.binomial(m.astype(np.int64), opens)
+        new, stay = at(before + np.maximum(opened - opened / m, 0) / 2)
+        weight[live] += opened * np.log(new / opens) + (m - opened) * np.log(stay / np.maximum(1 - opens, 1e-300))
+        t[live] += opened
+        n += step
+        live = live[c[live] > n]
     return t, weight
 
 
+def _log_gamma(x):
+    """By Stirling's series, from x + 6 down, for x >= 0.5."""
+    z = x + 6
+    down = np.log(x * (x + 1) * (x + 2)) + np.log((x + 3) * (x + 4) * (x + 5))
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) - down
+
+
+def _saddle(c, u, d):
+    """The number of tables whose ways have their saddle point at 1 - exp(-exp(u)), and the log of the ways.
+
+    The ways to seat c customers at t tables are c! / t! times the coefficient of x^c in
+    ((1 - (1 - x)^d) / d)^t; factors of c alone are left out.
+    """
+    low = -np.exp(u)
+    x, rest = -np.expm1(low), -np.expm1(d * low)
+    slope = d * x * np.exp((d - 1) * low) / rest
+    bend = np.maximum(slope * (1 + (1 - d) * x * np.exp(-low) - slope), 1e-12)
+    t = c / slope
+    return t, t * np.log(rest / d) - c * np.log(x) - _log_gamma(t + 1) - 0.5 * np.log(t * bend)
+
+
+def _seat_tables(rng, c, others, p, d):
+    """Tables of dishes of many customers and many tables, from the distribution at its saddle points.
+
+    The distribution has one peak; it is taken at ``POINTS`` places within eight deviations of
+    the peak and drawn from by its sums.
+    """
+
+    def where(rising):
+        """The place up to which ``rising`` holds, by halving; tables fall with the place."""
+        low, high = np.full(len(c), -25.0), np.full(len(c), 4.0)
+        for _ in range(50):
+            middle = (low + high) / 2
+            up = rising(middle)
+            low, high = np.where(up, low, middle), np.where(up, middle, high)
+        return (low + high) / 2
+
+    def slope(u):
+        t = _saddle(c, u, d)[0]
+        return t, np.log((others + d * t) * p / t) + np.log(-np.expm1(-d * np.exp(u)) / d)
+
+    peak = where(lambda u: slope(u)[1] >= 0)
+    near, far = slope(peak - 0.01), slope(peak + 0.01)
+    width = np.sqrt(np.maximum((near[0] - far[0]) / np.maximum(far[1] - near[1], 1e-300), 0.01))
+    t = _saddle(c, peak, d)[0]
+    ends = [where(lambda u, x=x: x >= _saddle(c, u, d)[0]) for x in (np.maximum(t - 8 * width, 0.5), np.minimum(t + 8 * width, c))]
+    u = ends[1][:, None] + (ends[0] - ends[1])[:, None] * np.linspace(1, 0, POINTS)
+    t, logs = _saddle(c[:, None], u, d)
+    logs += (t - 1) * np.log(p * d)[:, None] + _log_gamma(others[:, None] / d + t)
+    mass = np.exp(logs - logs.max(axis=1, keepdims=True))
+    sums = np.zeros(t.shape)
+    np.cumsum((mass[:, 1:] + mass[:, :-1]) / 2 * np.diff(t, axis=1), axis=1, out=sums[:, 1:])
+    pick = rng.random(len(c)) * sums[:, -1]
+    cell = np.minimum((sums[:, 1:] <= pick[:, None]).sum(axis=1), POINTS - 2)
+    row = np.arange(len(c))
+    part = (pick - sums[row, cell]) / np.maximum(sums[row, cell + 1] - sums[row, cell], 1e-300)
+    drawn = t[row, cell] + part * (t[row, cell + 1] - t[row, cell])
+    return np.clip(np.rint(drawn), 1, c)
+
+
 def reseat(rng, c, others, p, d, draws=DRAWS):
     """Tables of each dish, drawn given the tables of all others in its restaurant.
 
     ``others``: concentration plus discount times those tables; ``p``: the parent's
-    probability. Dishes of one customer have one table.
+    probability. Dishes of up to ``EXACT`` customers are drawn from the exact distribution, larger
+    ones that expect many tables from its saddle points, and those that expect few by ``draws``
+    seatings in turn, each accepted by Metropolis-Hastings. Dishes of one customer have one table.
     """
-    t, weight = _seat(rng, c, others, p, d)
+    few = c <= EXACT
+    t = np.ones(len(c))
+    t[few] = _seat_few(rng, c[few], others[few], p[few], d)
+    many = ~few & (_expected(c, others * p, d) > MANY)
+    for i in range(0, len(places := np.flatnonzero(many)), 4096):
+        at = places[i : i + 4096]
+        t[at] = _seat_tables(rng, c[at], others[at], p[at], d)
+    left = np.flatnonzero(~few & ~many)
+    args = (c[left], others[left], p[left], d)
+    seated, weight = _seat_many(rng, *args)
     for _ in range(draws - 1):
-        again, other = _seat(rng, c, others, p, d)
-        take = np.log(rng.random(len(c))) < other - weight
-        t, weight = np.where(take, again, t), np.where(take, other, weight)
+        again, other = _seat_many(rng, *args)
+        take = np.log(rng.random(len(left))) < other - weight
+        seated, weight = np.where(take, again, seated), np.where(take, other, weight)
+    t[left] = seated
     return t
 
 
@@ -481,6 +602,8 @@ FROM_PARENT = "bucket long, parent long, left binary, customers double, tables a
 
 #: The parent's sample that each sweep of the leaves uses; the first sweep is not averaged.
 SWEEPS = (0, *range(SAMPLES))
+#: Partial scores are whole numbers of this fraction, so that they add without rounding.
+UNIT = float(1 << 24)
 HOT = "bucket long, u binary, w binary, c binary, at binary"
 
 
@@ -518,56 +641,75 @@ def _hot_answers(left: pa.Table, right: pa.Table) -> pa.Table:
     })
 
 
-def _sweep_split(bucket, number, k, p, theta, d):
-    """Sweep ``k`` of the pairs of split contexts, with the same draws wherever it is done."""
-    bucket.sweep(np.random.default_rng([4, number, k]), p, theta, d, bucket.split)
-
-
-def _hot_tables(hot, theta, d, customers, shares, totals):
-    """Tables of split contexts in a bucket after the sweep that follows those with known ``totals``."""
+def _split_sweep(hot, k, theta, d, customers, shares):
+    """Sweep ``k`` of the pairs of split contexts; a row takes its tables along to the next."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 bucket = _Bucket(row, hot)
-                word = np.frombuffer(row["left"], "<f4").reshape(SAMPLES, -1).astype(np.float64)
-                for k, s in enumerate(SWEEPS[: len(totals) + 1]):
-                    _sweep_split(bucket, row["bucket"], k, (word[s] + shares[s]) / customers, theta, d)
-                    if k < len(totals):
-                        bucket.share(totals[k])
-                yield pa.RecordBatch.from_pydict({
-                    "hot": pa.array(bucket.names, pa.int64()),
-                    "tables": pa.array(np.bincount(bucket.context, bucket.t), pa.float64()),
-                })
+                if row["tables"]:
+                    bucket.t = unpack(row["tables"][-1]).astype(np.float64)
+                s = SWEEPS[k]
+                word = np.frombuffer(row["left"], "<f4").reshape(SAMPLES, -1)[s].astype(np.float64)
+                rng = np.random.default_rng([4, row["bucket"], k])
+                bucket.sweep(rng, (word + shares[s]) / customers, theta, d)
+                row["tables"] = [*row["tables"], pack(bucket.t.astype(np.int64))]
+                row["names"] = bucket.names.tolist()
+                row["totals"] = np.bincount(bucket.context, bucket.t).tolist()
+                yield pa.RecordBatch.from_pylist([row], schema=SPLIT_ARROW)
 
     return run
 
 
-def _split_totals(restaurants, answers, buckets, hot, *model):
-    """Summed tables of each context split over buckets, after each of ``SWEEPS``."""
+SPLIT = (
+    "bucket long, u binary, w binary, c binary, left binary, tables array<binary>, "
+    "names array<long>, totals array<double>"
+)
+SPLIT_ARROW = pa.schema([
+    ("bucket", pa.int64()), *((k, pa.binary()) for k in ("u", "w", "c", "left")),
+    ("tables", pa.list_(pa.binary())), ("names", pa.list_(pa.int64())), ("totals", pa.list_(pa.float64())),
+])
+
+
+def _split_sweeps(restaurants, answers, buckets, hot, *model):
+    """Tables of the pairs of split contexts after each of ``SWEEPS``, and the summed tables.
+
+    Each sweep is done once, a bucket a row and its tables written; the next one starts there,
+    with the totals over all buckets. Without split contexts: no rows.
+    """
     spark = restaurants.sparkSession
     if not hot:
-        return [{} for _ in SWEEPS]
+        return spark.createDataFrame([], "bucket long, tables array<binary>"), [{} for _ in SWEEPS]
     pairs = restaurants.where("bucket >= 0").select("bucket", "u", "w", "c").mapInArrow(
         _hot_pairs(buckets, np.array(sorted(hot), np.int64)), HOT
     )
-    seats, path = write_table(
+    seats = (
         pairs.groupBy("bucket").cogroup(answers.select("bucket", "parent", "left").groupBy("bucket"))
-        .applyInArrow(_hot_answers, "bucket long, u binary, w binary, c binary, left binary"),
-        "lm-hot",
+        .applyInArrow(_hot_answers, "bucket long, u binary, w binary, c binary, left binary")
+        .withColumn("tables", F.array().cast("array<binary>"))
     )
-    totals = []
-    for _ in SWEEPS:
-        found = seats.mapInArrow(_hot_tables(hot, *model, totals), "hot long, tables double")
-        totals.append({r["hot"]: r["tables"] for r in found.groupBy("hot").agg(F.sum("tables").alias("tables")).collect()})
-    drop_tables(spark, path)
-    return totals
+    totals, last = [], None
+    for k in range(len(SWEEPS)):
+        # A key and a number keep adaptive execution from merging the few large rows into one task.
+        dealt = seats.repartition(shuffle_partitions(spark), "bucket")
+        seats, path = write_table(dealt.mapInArrow(_split_sweep(hot, k, *model), SPLIT), "lm-split")
+        if last:
+            drop_tables(spark, last)
+        last = path
+        found = seats.select(F.explode(F.arrays_zip("names", "totals")).alias("x")).groupBy("x.names")
+        totals.append({r["names"]: r["tables"] for r in found.agg(F.sum("x.totals").alias("tables")).collect()})
+        hot = {i: (c, totals[-1].get(i)) for i, (c, _) in hot.items()}
+        seats = seats.drop("names", "totals")
+    return seats.select("bucket", "tables"), totals
 
 
 def _scores(buckets, hot, theta, d, customers, shares, totals):
     """Partial log scores of the documents of each block.
 
     ``shares``: what unseen words get; ``totals``: tables of split contexts after each sweep.
+    The right side holds the parent's answers, and one row with the tables of a bucket's pairs of
+    split contexts after each sweep.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -580,7 +722,9 @@ def _scores(buckets, hot, theta, d, customers, shares, totals):
         bucket = _Bucket(row, hot)
         rng = np.random.default_rng([3, row["bucket"]])
         order, parts = by_bucket(bucket.dishes % buckets)
-        answers = {r["parent"]: np.frombuffer(r["left"], "<f4").reshape(SAMPLES, -1) for r in right.to_pylist()}
+        found = right.to_pylist()
+        answers = {r["parent"]: np.frombuffer(r["left"], "<f4").reshape(SAMPLES, -1) for r in found if r["left"] is not None}
+        tables = next((r["tables"] for r in found if r["tables"] is not None), None)
         word = np.empty((SAMPLES, len(bucket.dishes)))
         for b, i, j in parts:
             word[:, order[i:j]] = answers[b]
@@ -588,8 +732,9 @@ def _scores(buckets, hot, theta, d, customers, shares, totals):
         for k, s in enumerate(SWEEPS):
             p = ((word[s] + shares[s]) / customers)[bucket.dish]
             bucket.sweep(rng, p, theta, d, ~bucket.split)
-            _sweep_split(bucket, row["bucket"], k, p, theta, d)
-            bucket.share(totals[k])
+            if bucket.hot:
+                bucket.t[bucket.split] = unpack(tables[k])
+                bucket.share(totals[k])
             if k:
                 mean += bucket.predict(p, theta, d)
         logs = np.log10(mean / SAMPLES)
@@ -598,7 +743,7 @@ def _scores(buckets, hot, theta, d, customers, shares, totals):
             entries, docs = unpack(piece["entries"]).astype(np.int64), unpack(piece["docs"]).astype(np.int64)
             at = np.repeat(np.cumsum(unpack(piece["at"]).astype(np.int64)), entries)
             sums = np.bincount(docs, logs[at] * unpack(piece["times"]))
-            made.append({"block": block, "base": None, "part": sums.astype("<f4").tobytes()})
+            made.append({"block": block, "base": None, "part": pack(np.rint(-sums * UNIT).astype(np.int64))})
         return pa.Table.from_pylist(made, schema=SCORES_ARROW)
 
     return run
@@ -610,14 +755,14 @@ SCORES_ARROW = pa.schema([("block", pa.int64()), ("base", _BASE_ARROW), ("part",
 
 def _documents(tokens, vocabulary):
     def run(group: pa.Table) -> pa.Table:
-        base, total = None, np.zeros(0)
+        base, total = None, np.zeros(0, np.int64)
         for row in group.to_pylist():
             if row["base"] is not None:
                 base = row["base"]
                 continue
-            part = np.frombuffer(row["part"], "<f4").astype(np.float64)
+            part = unpack(row["part"]).astype(np.int64)
             if len(part) > len(total):
-                total = np.append(total, np.zeros(len(part) - len(total)))
+                total = np.append(total, np.zeros(len(part) - len(total), np.int64))
             total[: len(part)] += part
         under = math.log10(tokens + 0.5 * (vocabulary + 1))
         return pa.table({
@@ -627,7 +772,7 @@ def _documents(tokens, vocabulary):
             "n_known": [b["known"] for b in base],
             "train_tokens": [tokens] * len(base),
             "base_score": [b["base"] - b["n"] * under for b in base],
-            "score": total[: len(base)].tolist(),
+            "score": (total[: len(base)] / -UNIT).tolist(),
         })
 
     return run
@@ -713,9 +858,10 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, seed: i
     ).first()
     shares = [(1.0 + d_parent * sums[f"t{s}"]) * base for s in range(SAMPLES)]
     model = (theta, d, 1.0 + sums["customers"], shares)
-    totals = _split_totals(restaurants, answers, buckets, hot, *model)
+    seats, totals = _split_sweeps(restaurants, answers, buckets, hot, *model)
+    given = answers.select("bucket", "parent", "left").unionByName(seats, allowMissingColumns=True)
     return (
-        restaurants.groupBy("bucket").cogroup(answers.groupBy("bucket"))
+        restaurants.groupBy("bucket").cogroup(given.groupBy("bucket"))
         .applyInArrow(_scores(buckets, hot, *model, totals), SCORES)
         .groupBy("block").applyInArrow(_documents(n["tokens"], v["known"]), RESULT)
     )
