@@ -42,3 +42,22 @@ def test_steps_grow_with_the_logarithm_of_a_dish():
     rng = Counted()
     t, _ = lm._seat_many(rng, np.array([1e7, 1e2]), np.full(2, 1e5), np.full(2, 0.1), 0.8)
     assert rng.calls < 300 and t[0] > 10_000 and t[1] <= 100
+
+
+def test_scores_hardly_depend_on_the_layout(spark):
+    """Held-out texts beat the base, and other partitions only change the draws."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    scores = []
+    try:
+        for partitions in ("3", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            rows = lm.op1_lm_scoring(spark, "/root/testdata/sf0.001").collect()
+            held = [r for r in rows if r["held_out"]]
+            assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+            scores.append({r["doc_id"]: r["score"] for r in rows})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    first, second = scores
+    assert first.keys() == second.keys()
+    for doc_id, score in first.items():
+        assert second[doc_id] == pytest.approx(score, rel=0.05)
