@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from wardledger.operators import cost
+from wardledger.plans.queries import _job_totals
 
 GB = 1024**3
 TB = 1024**4
@@ -112,6 +113,19 @@ def test_totals_survive_sums_past_the_long_range_of_products(spark):
     assert rows(cost.job_billed_cost(jobs.limit(1)).select("cost")) == [(5.0,)]
 
 
+def test_totals_beyond_bigint_stay_whole(spark):
+    most = 2**63 - 1
+    jobs = spark.createDataFrame(
+        [(i, most, most, 5) for i in range(3)],
+        "job_id long, total_bytes_processed long, total_bytes_billed long, total_slot_ms long",
+    )
+    found = _job_totals(jobs)
+    assert tuple(found.first())[:3] == (3, 3 * most, 15)
+    assert [t for _, t in found.dtypes] == ["bigint", "decimal(30,0)", "bigint", "double"]
+    assert [t for _, t in _job_totals(jobs.limit(1)).dtypes] == ["bigint", "bigint", "bigint", "double"]
+    assert tuple(_job_totals(jobs.limit(0)).first()) == (0, 0, 0, 0.0)
+
+
 def test_shares_add_up(spark):
     runs = load_run(spark, csv_bytes=2000 * GB).unionByName(load_run(spark, processed_bytes=TB))
     found = {r.component: (r.usd, r.share) for r in cost.cost_share(cost.end_to_end_cost(runs)).collect()}

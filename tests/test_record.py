@@ -2,7 +2,7 @@ import datetime
 
 import pytest
 
-from wardledger.operators import metrics, record
+from wardledger.operators import cost, metrics, record
 
 AT = "2025-09-09T09:26:37"
 SAMPLES = "engine string, phase string, seconds double, cpu_percent int, memory_mb int, at timestamp_ntz"
@@ -98,5 +98,15 @@ def test_json_gives_back_every_field(records):
     assert sorted(map(repr, back.collect())) == sorted(map(repr, nested.collect()))
 
 
+def test_totals_beyond_bigint_stay_whole(records):
+    most = 2**63 - 1
+    nested = records(objects=[("e", most, most, i) for i in range(3)], history=[job("e", i, processed=most) for i in range(3)])
+    back = metrics.json_roundtrip(nested)
+    costs, stored = cost.narrowed(record.cost_rows(back)), cost.narrowed(record.storage_rows(back))
+    assert costs.first().detail_query_bytes_processed == 3 * most
+    assert (stored.first().raw_csv_bytes, stored.first().physical_bytes) == (3 * most, 3 * most)
+    assert dict(costs.dtypes)["detail_query_slot_milliseconds"] == "bigint"
+
+
 def test_no_engine_at_all(records):
     assert records().collect() == []

@@ -144,20 +144,42 @@ def job_billed_cost(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", on_demand_usd(F.col("total_bytes_billed")).alias("cost"))
 
 
+#: Type of ``whole_sum``.
+WHOLE = "decimal(30,0)"
+
+
+def whole_sum(value: Column) -> Column:
+    """Exact sum of BIGINT values as DECIMAL: totals of many jobs leave the range of BIGINT."""
+    return F.sum(value.cast("decimal(20,0)"))
+
+
+def narrowed(totals: DataFrame) -> DataFrame:
+    """Whole sums as BIGINT; a column with a value beyond BIGINT stays the exact DECIMAL.
+
+    ``totals`` is read once to see which values fit.
+    """
+    wide = [f.name for f in totals.schema if f.dataType.simpleString() == WHOLE]
+    if not wide:
+        return totals
+    beyond = totals.agg(
+        *[F.count_if(F.col(n).isNotNull() & F.col(n).try_cast("bigint").isNull()).alias(n) for n in wide]
+    ).first()
+    return totals.withColumns({n: F.col(n).cast("bigint") for n in wide if not beyond[n]})
+
+
 def _sum_integers(name: str) -> Column:
-    """Sum of BIGINT that cannot overflow on the way."""
-    return F.sum(_or_zero(F.col(name)).cast("decimal(20,0)"))
+    return whole_sum(_or_zero(F.col(name)))
 
 
 def job_totals(jobs: DataFrame) -> DataFrame:
-    """Bytes, slot time and billed cost over all jobs.
+    """Bytes, slot time and billed cost over all jobs; bytes and slot time are whole sums.
 
     The cost comes from the exact sum of billed bytes.
     """
     return jobs.agg(
         F.count("*").alias("jobs"),
-        _or_zero(_sum_integers("total_bytes_processed")).cast("bigint").alias("bytes_processed"),
-        _or_zero(_sum_integers("total_slot_ms")).cast("bigint").alias("slot_ms"),
+        _or_zero(_sum_integers("total_bytes_processed")).alias("bytes_processed"),
+        _or_zero(_sum_integers("total_slot_ms")).alias("slot_ms"),
         on_demand_usd(_sum_integers("total_bytes_billed")).alias("cost"),
     )
 

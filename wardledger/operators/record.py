@@ -69,11 +69,10 @@ def performance(samples: DataFrame) -> DataFrame:
 
 def storage(objects: DataFrame) -> DataFrame:
     """engine and its sizes, from objects (engine, size_bytes, physical_bytes, partition)."""
-    whole = lambda name: F.sum(F.col(name).cast("decimal(20,0)")).cast("bigint")
     return objects.groupBy("engine").agg(
-        whole("size_bytes").alias("raw_csv_bytes"),
-        whole("size_bytes").alias("logical_bytes"),
-        whole("physical_bytes").alias("physical_bytes"),
+        cost.whole_sum(F.col("size_bytes")).alias("raw_csv_bytes"),
+        cost.whole_sum(F.col("size_bytes")).alias("logical_bytes"),
+        cost.whole_sum(F.col("physical_bytes")).alias("physical_bytes"),
         F.count("*").alias("num_rows"),
         F.count_distinct("partition").alias("num_partitions"),
     )
@@ -101,9 +100,8 @@ def jobs(history: DataFrame, k: int = RECENT_JOBS) -> DataFrame:
     lists = kept.groupBy("engine").agg(
         F.sort_array(F.collect_list(F.struct("place", *JOB_FIELDS))).alias("jobs")
     )
-    whole = lambda name: F.sum(F.col(name).cast("decimal(20,0)")).cast("bigint")
     totals = priced.groupBy("engine").agg(
-        whole("total_bytes_processed").alias("bytes_processed"), whole("total_slot_ms").alias("slot_milliseconds")
+        cost.whole_sum(F.col("total_bytes_processed")).alias("bytes_processed"), cost.whole_sum(F.col("total_slot_ms")).alias("slot_milliseconds")
     )
     return totals.join(lists, "engine")
 
