@@ -44,6 +44,13 @@ def test_copies_are_compressed_and_whole(spark, sf_dir):
     assert sorted(map(repr, rows(own.select(*eight.columns)))) == sorted(map(repr, rows(eight)))
 
 
+def test_external_files_are_compressed_and_whole(spark, sf_dir):
+    files = bindings.external_files(spark, sf_dir)
+    assert _files(files) and all(f.endswith(".gz") for f in _files(files))
+    own, table = staging.read_csv(spark, files), bindings.staging_order(bindings.staging(spark, sf_dir))
+    assert sorted(map(repr, rows(own))) == sorted(map(repr, rows(table)))
+
+
 def test_a_compressed_file_holds_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setitem(staging.COMPRESSED, "maxRecordsPerFile", 10)
     staging.write_csv(spark.range(0, 35, 1, 1), f"{tmp_path}/c", compressed=True)
