@@ -80,3 +80,13 @@ def test_shards_are_read_in_blocks_of_any_size(spark, documents, monkeypatch, tm
         blocks = binary._read(f"file://{tmp_path}")([r for r in manifest.toArrow().to_batches()])
         got = [tuple(r.values()) for b in blocks for r in b.to_pylist()]
         assert sorted(got, key=lambda r: r[1]) == [tuple(r) for r in whole]
+
+
+def test_only_words_that_end_in_punctuation_are_looked_at_for_it(monkeypatch):
+    encoder = tokens.Encoder(tokens.BYTE_BPE, False)
+    asked, core = [], encoder.core
+    monkeypatch.setattr(encoder, "core", lambda p: asked.append(p) or core(p))
+    text = "one two, three four; five's (six) seven|"
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.ids([text.encode()]) == [b"".join(i.to_bytes(4, "little") for i in want)]
+    assert sorted(asked) == [b"four;", b"seven|", b"two,"]

@@ -40,6 +40,7 @@ _WORD = re.compile(r" [^\s\0]\S*")
 
 #: Punctuation that never joins a letter or digit before it in one token; the apostrophe may.
 PUNCTUATION = b".,!?#$%&*:;|"
+_MARKS = tuple(bytes([x]) for x in PUNCTUATION)
 
 #: How a byte-level vocabulary writes a space.
 SPACE_TOKEN = "\u0120"
@@ -142,7 +143,7 @@ class Encoder:
             gaps.append(gap)
         met = {p: before[p] for p in new if p in before}
         new -= met.keys()
-        ends = {p: c for p in new if (c := self.core(p))}
+        ends = {p: c for p in new if p.endswith(_MARKS) and (c := self.core(p))}
         met.update((p, before[p]) for pair in ends.values() for p in pair if p in before and p not in known)
         known.update(met)
         alone = [p for p in {*(new - ends.keys()), *(c for c, _ in ends.values()), *(e for _, e in ends.values())} if p not in known]
