@@ -90,3 +90,13 @@ def test_only_words_that_end_in_punctuation_are_looked_at_for_it(monkeypatch):
     want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert encoder.ids([text.encode()]) == [b"".join(i.to_bytes(4, "little") for i in want)]
     assert sorted(asked) == [b"four;", b"seven|", b"two,"]
+
+
+def test_new_words_get_their_ids_without_a_text_each(monkeypatch):
+    encoder = tokens.Encoder(tokens.BYTE_BPE, False)
+    made, text_of = [], encoder.text_of
+    monkeypatch.setattr(encoder, "text_of", lambda p: made.append(p) or text_of(p))
+    text = "first second \u00e9t\u00e9 two\nlines x\u00a0y fourth"
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.ids([text.encode()]) == [b"".join(i.to_bytes(4, "little") for i in want)]
+    assert sorted(made) == sorted([b"\0first", b"two\nlines", "x\u00a0y".encode()])

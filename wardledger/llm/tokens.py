@@ -35,8 +35,8 @@ ENTRY = 180
 #: do those that hold a special token.
 SPLIT = {"word_bpe_49k.json": "words", "byte_bpe_50k.json": "spaces"}
 _JOINED = re.compile(r"\s (?:\s|$)")
-#: A later piece that is one word after its space.
-_WORD = re.compile(r" [^\s\0]\S*")
+#: A later piece, without the space before it, that is one word.
+_WORD = re.compile(r"[^\s\0]\S*")
 
 #: Punctuation that never joins a letter or digit before it in one token; the apostrophe may.
 PUNCTUATION = b".,!?#$%&*:;|"
@@ -84,19 +84,20 @@ class Encoder:
 
     def each(self, pieces: list[bytes]) -> list[tuple[bytes, object]]:
         """Values of single pieces. Words without white space are encoded in one row."""
-        row, texts = [], {p: self.text_of(p) for p in pieces}
+        row, rest = [], pieces
         if self.opens is not None:
-            row = [p for p, t in texts.items() if _WORD.fullmatch(t)]
+            row = [p for p in pieces if _WORD.fullmatch(p.decode())]
         done = []
         if row:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts[p] for p in row)], add_special_tokens=False)[0].ids, "<u4")
+            text = (b" " + b" ".join(row)).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.opens[ids])
             if len(at) == len(row):
                 data, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
                 done = [(p, data[i:j]) for p, i, j in zip(row, (4 * at).tolist(), ends)]
-        found = {p for p, _ in done}
-        rest = [p for p in pieces if p not in found]
-        return done + list(zip(rest, self.whole([texts[p] for p in rest])))
+                found = set(row)
+                rest = [p for p in pieces if p not in found]
+        return done + list(zip(rest, self.whole([self.text_of(p) for p in rest])))
 
     def pieces(self, data: bytes) -> list[bytes] | None:
         """Pieces whose ids, one after the other, are those of the text; None: encode it whole."""
@@ -136,9 +137,8 @@ class Encoder:
         for parts in cut:
             # One look-up a piece; only what was missing is looked up again.
             values = None if parts is None else list(map(known.get, parts))
-            gap = bool(parts) and None in values
-            if gap:
-                new.update([p for p, v in zip(parts, values) if v is None])
+            gap = [k for k, v in enumerate(values) if v is None] if parts and None in values else []
+            new.update([parts[k] for k in gap])
             got.append(values)
             gaps.append(gap)
         met = {p: before[p] for p in new if p in before}
@@ -157,8 +157,8 @@ class Encoder:
         for i, (parts, gap) in enumerate(zip(cut, gaps)):
             if parts is None:
                 got[i] = [whole[i]]
-            elif gap:
-                got[i] = [known[p] if v is None else v for p, v in zip(parts, got[i])]
+            for k in gap:
+                got[i][k] = known[parts[k]]
         return got
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
