@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 
-from wardledger.llm.shared import as_bytes, pack, words
+from wardledger.llm.shared import as_bytes, pack, small_batches, words
 
 BLOCK = 1 << 21
 
@@ -40,7 +40,7 @@ def blocks(batches):
             "documents": [len(held) - sum(held)],
         })
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in small_batches(whole)):
         for doc, out, text in zip(
             batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
         ):
@@ -50,7 +50,7 @@ def blocks(batches):
                 known = _Numbers(names, counter)
             own = words(text)
             own.append(b"")  # the end: no word is empty
-            tokens.append(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
+            tokens.append(np.fromiter(map(known.__getitem__, own), np.uint32, len(own)))
             names = known
             ids.append(doc)
             held.append(out)

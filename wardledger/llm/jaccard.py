@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardledger.llm.blocks import BLOCK, BLOCKS, blocks, by_bucket, runs
+from wardledger.llm.blocks import BLOCK, BLOCKS, blocks, runs
 from wardledger.llm.components import components
 from wardledger.llm.shared import drop_tables, mix, pack, shuffle_partitions, table, unpack, write_table
 
@@ -64,6 +64,10 @@ PART = 4096
 PIVOTS = 128
 BINS = 256
 BLOCK_SHINGLES = 1 << 20
+#: Tokens or shingles of a block that are worked on at once, about.
+PORTION = 1 << 18
+#: Upper bits of a fingerprint that deal a bucket's shingles into passes.
+PASS_BITS = 3
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,49 +96,88 @@ def shingles(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     return owner[first], keys[first]
 
 
+def _portions(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of successive entries of at most ``PORTION`` together, or of a single one."""
+    ends, at, found = np.cumsum(sizes), 0, []
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, "right")))
+        found.append((at, to))
+        at = to
+    return found
+
+
 def _block_shingles(row) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of a block's documents, whose last token is their end."""
+    """How many shingles each document of a block has, and all of them in the order of the documents.
+
+    A document's last token is its end. Only the result is as long as the block.
+    """
     lengths = unpack(row["lengths"]).astype(np.int64)
-    tokens = np.delete(unpack(row["tokens"]), np.cumsum(lengths) - 1)
-    hashes = unpack(row["hashes"])
+    tokens, hashes = unpack(row["tokens"]), unpack(row["hashes"])
     of_number = np.empty_like(hashes)
     of_number[unpack(row["numbers"])] = hashes
-    return shingles(of_number[tokens], lengths - 1)
+    ends = np.cumsum(lengths)
+    n, keys, size = np.zeros(len(lengths), np.int64), np.empty(len(tokens), np.uint64), 0
+    for i, j in _portions(lengths):
+        first = ends[i] - lengths[i]
+        own = np.delete(tokens[first : ends[j - 1]], ends[i:j] - 1 - first)
+        owner, found = shingles(of_number[own], lengths[i:j] - 1)
+        n[i:j] = np.bincount(owner, minlength=j - i)
+        keys[size : size + len(found)] = found
+        size += len(found)
+    return n, keys[:size]
 
 
-def _asked(keys: np.ndarray, buckets: int):
-    """Distinct shingles of a block with their counts, by bucket."""
-    found, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    order, parts = by_bucket((found % np.uint64(buckets)).astype(np.int64))
-    return found, inverse, counts, order, parts
+def _parts(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of ascending shingles; a bucket is a range of them."""
+    lows = np.array([-(-(b << 32) // buckets) << 32 for b in range(buckets)], np.uint64)
+    at = [*np.searchsorted(keys, lows).tolist(), len(keys)]
+    return [(b, i, j) for b, (i, j) in enumerate(zip(at, at[1:])) if i < j]
 
 
 def _requests(buckets):
+    """Distinct shingles of each block with their counts, a row for each bucket."""
+
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                found, _, counts, order, parts = _asked(_block_shingles(row)[1], buckets)
-                prints = (found[order] >> np.uint64(32)).astype("<u4")
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                _, keys = _block_shingles(row)
+                keys.sort()
+                parts, prints, counts = _parts(keys, buckets), [], []
+                for _, i, j in parts:
+                    first = runs(keys[i:j])
+                    # A bucket fixes the upper bits, so the lower ones tell its shingles apart.
+                    prints.append(keys[i:j][first].astype("<u4").tobytes())
+                    counts.append(pack(np.diff(first, append=j - i)))
+                del keys
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array([b for b, _, _ in parts], pa.int64()),
                     "block": pa.array([row["block"]] * len(parts), pa.int64()),
-                    "keys": pa.array([prints[i:j].tobytes() for _, i, j in parts], pa.binary()),
-                    "counts": pa.array([pack(counts[order[i:j]]) for _, i, j in parts], pa.binary()),
+                    "keys": pa.array(prints, pa.binary()),
+                    "counts": pa.array(counts, pa.binary()),
                 })
 
     return run
 
 
 def _counted(group: pa.Table) -> pa.Table:
-    rows = group.to_pylist()
-    keys = [np.frombuffer(r["keys"], "<u4") for r in rows]
-    found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(inverse, np.concatenate([unpack(r["counts"]) for r in rows]), len(found)).astype(np.int64)
+    """Counts of all blocks together, for the shingles that each block asked for."""
+    rows = group.select(["block", "bucket", "counts"]).to_pylist()
+    keys = [np.frombuffer(k.as_buffer(), "<u4") for k in group.column("keys")]
     ends = np.cumsum([len(k) for k in keys])
+    keys, counts = np.concatenate(keys), np.concatenate([unpack(r["counts"]) for r in rows])
+    total = np.empty(len(keys), np.int64)
+    # Equal shingles agree in their upper bits, so each value of those is a pass of its own.
+    upper = (keys >> np.uint32(32 - PASS_BITS)).astype(np.uint8)
+    for part in range(1 << PASS_BITS):
+        own = np.flatnonzero(upper == part)
+        if len(own):
+            _, inverse = np.unique(keys[own], return_inverse=True)
+            total[own] = np.bincount(inverse, counts[own])[inverse]
     return pa.table({
         "block": [r["block"] for r in rows],
         "bucket": [r["bucket"] for r in rows],
-        "counts": [pack(counts[inverse[e - len(k) : e]]) for k, e in zip(keys, ends)],
+        "counts": [pack(total[i:j]) for i, j in zip([0, *ends[:-1]], ends)],
     })
 
 
@@ -146,28 +189,32 @@ def _sets(buckets):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        owner, keys = _block_shingles(row)
-        found, inverse, _, order, parts = _asked(keys, buckets)
+        n, keys = _block_shingles(row)
+        found = np.sort(keys)
+        found = found[runs(found)] if len(found) else found
         answers = {r["bucket"]: r["counts"] for r in right.select(["bucket", "counts"]).to_pylist()}
-        count = np.empty(len(found), np.int64)
-        for b, i, j in parts:
-            count[order[i:j]] = unpack(answers[b])
-        count = count[inverse]
-        n = np.bincount(owner, minlength=len(row["ids"]))
-        shared = np.bincount(owner, count > 1, minlength=len(n)).astype(np.int64)
+        counts = np.concatenate([np.zeros(0, np.uint8), *(unpack(answers[b]) for b, _, _ in _parts(found, buckets))])
         starts = np.cumsum(n) - n
-        weight = np.bincount(owner, np.log2(count), minlength=len(n)) / np.maximum(n, 1)
+        weight = np.zeros(len(n))
         out = {k: [None] * len(n) for k in ("digest", "prefix", "sketch", "members")}
-        for i in np.flatnonzero((n > 0) & (100 * shared >= PERCENT * n)):
-            if row["ids"][i] is None:
-                continue
-            own, often = keys[starts[i] : starts[i] + n[i]], count[starts[i] : starts[i] + n[i]]
-            first = int(n[i]) - -(-PERCENT * int(n[i]) // 100) + 1
-            rare = np.lexsort((own, often))[:first]
-            out["digest"][i] = xxhash.xxh3_128_digest(own.tobytes())
-            out["prefix"][i] = own[rare[often[rare] > 1]].view(np.int64).tolist()
-            out["members"][i] = own[often > 1].tobytes()
-            out["sketch"][i] = sketch(own[often > 1])
+        for at, to in _portions(n):
+            sizes, base = n[at:to], starts[at]
+            some = keys[base : base + sizes.sum()]
+            count = counts[np.searchsorted(found, some)].astype(np.int64)
+            owner = np.repeat(np.arange(to - at), sizes)
+            shared = np.bincount(owner, count > 1, minlength=to - at).astype(np.int64)
+            weight[at:to] = np.bincount(owner, np.log2(count), minlength=to - at) / np.maximum(sizes, 1)
+            for i in at + np.flatnonzero((sizes > 0) & (100 * shared >= PERCENT * sizes)):
+                if row["ids"][i] is None:
+                    continue
+                i_start = starts[i] - base
+                own, often = some[i_start : i_start + n[i]], count[i_start : i_start + n[i]]
+                first = int(n[i]) - -(-PERCENT * int(n[i]) // 100) + 1
+                rare = np.lexsort((own, often))[:first]
+                out["digest"][i] = xxhash.xxh3_128_digest(own.tobytes())
+                out["prefix"][i] = own[rare[often[rare] > 1]].view(np.int64).tolist()
+                out["members"][i] = own[often > 1].tobytes()
+                out["sketch"][i] = sketch(own[often > 1])
         return pa.table({
             "doc_id": pa.array(row["ids"], pa.int64()),
             "n_shingles": pa.array(n, pa.int64()),

@@ -37,7 +37,7 @@ def cuts(n: int, length: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, length) for at in range(first, n, length)]
 
 
-def _pieces(tokenizer, length, with_ids, remember):
+def _pieces(tokenizer, length, with_ids, remember, keep):
     def run(batches):
         encoder = Encoder.of(tokenizer, remember=remember)
         for batch in batches:
@@ -53,6 +53,8 @@ def _pieces(tokenizer, length, with_ids, remember):
                 arrays = [pa.array(v, t) for v, t in zip(rows.values(), kinds)]
                 m = len(arrays) if with_ids else len(arrays) - 1
                 yield pa.RecordBatch.from_arrays(arrays[:m], list(rows)[:m])
+        if not keep:
+            encoder.forget()
 
     return run
 
@@ -122,15 +124,16 @@ def _pack(length):
     return run
 
 
-def pack_documents(docs: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_BPE, with_ids: bool = False, remember: int = REMEMBER) -> DataFrame:
+def pack_documents(docs: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_BPE, with_ids: bool = False, remember: int = REMEMBER, keep: bool = False) -> DataFrame:
     """Every piece with its sequence and place; with its ids as 32-bit integers if asked for.
 
-    ``remember`` bounds each of the two generations of encoded words that a worker keeps, in bytes.
+    ``remember`` bounds each of the two generations of encoded words that a worker keeps, in bytes;
+    they go when a task ends, unless ``keep`` lets its next task have them.
     """
     fields = PIECE + (", ids binary" if with_ids else "")
     text = F.coalesce("text", F.lit(""))
     pieces, _ = write_table(
-        docs.select("doc_id", text).mapInArrow(_pieces(tokenizer, length, with_ids, remember), fields), "pieces"
+        docs.select("doc_id", text).mapInArrow(_pieces(tokenizer, length, with_ids, remember, keep), fields), "pieces"
     )
     groups = max(1, pieces.count() // GROUP)
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
@@ -139,4 +142,4 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Nothing else runs beside it, so its words may take more room than in the pipeline.
-    return pack_documents(table(spark, sf_dir, "documents"), remember=144 << 20)
+    return pack_documents(table(spark, sf_dir, "documents"), remember=144 << 20, keep=True)

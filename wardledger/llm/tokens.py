@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardledger.llm.shared import as_bytes, fresh_path, table, write_table
+from wardledger.llm.shared import as_bytes, fresh_path, small_batches, table, write_table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,6 +79,10 @@ class Encoder:
         _encoders[key].remember = remember or REMEMBER
         return _encoders[key]
 
+    def forget(self) -> None:
+        """Let go of all pieces, so that a reused worker carries none of them on."""
+        self.known, self.before, self.held = {}, {}, 0
+
     def whole(self, texts: list[str]) -> list:
         return [self.value(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -166,12 +170,6 @@ class Encoder:
         return [b"".join(values) for values in self.encode(texts)]
 
 
-def small_batches(batch: pa.RecordBatch, rows: int = 512):
-    """Slices of a batch, to bound what one step holds of texts and ids."""
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
-
-
 def tokenizer_digest(path: str) -> str:
     with open(path, "rb") as file:
         return hashlib.sha256(file.read()).hexdigest()
